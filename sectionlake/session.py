@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,3 +26,20 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder; the path goes to Spark's reader alone, so any store works."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the session's executors this package, once; operators with Python workers call it first."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="sectionlake-"), "sectionlake.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for module in sorted(top.rglob("*.py")):
+            out.write(module, module.relative_to(top.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
