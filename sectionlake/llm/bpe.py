@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 
 import numpy as np
@@ -108,22 +109,41 @@ class MergeTable:
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Exact merging: the earliest merge first, leftmost first among its places."""
-        pair = self.pair
-        while len(symbols) > 1:
-            best = min((pair.get(x, self.size) for x in zip(symbols, symbols[1:])), default=self.size)
-            if best == self.size:
-                break
-            out, i, a, b = [], 0, self._left[best], self._right[best]
-            while i < len(symbols):
-                if i + 1 < len(symbols) and symbols[i] == a and symbols[i + 1] == b:
-                    out.append(best)
-                    i += 2
-                else:
-                    out.append(symbols[i])
-                    i += 1
-            symbols = out
+        if len(symbols) > 200:
+            return self._merge_long(symbols)
+        get, none = self.pair.get, self.size
+        ranks = [get(x, none) for x in zip(symbols, symbols[1:])]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            symbols[i : i + 2] = [best]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = get((best, symbols[i + 1]), none)
+            if i:
+                ranks[i - 1] = get((symbols[i - 1], best), none)
         return symbols
 
+    def _merge_long(self, symbols: list[int]) -> list[int]:
+        """The same with a heap of places and links between neighbours, in n log n steps."""
+        n, get = len(symbols), self.pair.get
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := get((symbols[i], symbols[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            made, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if j < 0 or symbols[i] != a or symbols[j] != b:
+                continue
+            symbols[i], symbols[j] = made, -1
+            k = after[i] = after[j]
+            if k >= 0:
+                before[k] = i
+                if (r := get((made, symbols[k]))) is not None:
+                    heapq.heappush(heap, (r, i, made, symbols[k]))
+            if (h := before[i]) >= 0 and (r := get((symbols[h], made))) is not None:
+                heapq.heappush(heap, (r, h, symbols[h], made))
+        return [s for s in symbols if s >= 0]
+
 
 @functools.lru_cache(maxsize=4)
 def merge_table(path: str) -> MergeTable:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sectionlake.llm import sharding, token_counts
+from sectionlake.llm import bpe_codec, sharding, token_counts
 
-_MODULES = (sharding, token_counts)
+_MODULES = (bpe_codec, sharding, token_counts)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}

@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sectionlake.session import ship_package
 from sectionlake.llm.bpe import byte_alphabet, merge_table
 
 VOCABULARY = "byte_bpe_50k.json"
-_SPACES = frozenset(" \t\n\v\f\r\x85\xa0     　") | {chr(c) for c in range(0x2000, 0x200B)}
+_SPACES = frozenset(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _EMPTY = ((0, -1, 0),)
 
 
@@ -268,6 +269,7 @@ def token_counts(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
                     names=[key, "n_bytes", "n_tokens"],
                 )
 
+    ship_package(df.sparkSession)
     kind = dict(df.dtypes)[key]
     return df.select(key, F.col(text).cast("string").alias(text)).mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_tokens long")
 
