@@ -8,7 +8,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 _scratch: dict[str, str] = {}
 
@@ -54,38 +53,37 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def successors(ids: DataFrame, order: list[str], carry: list[str]) -> DataFrame:
-    """The following row of each row in one global order, found without a single-task window.
+def in_ranges(rows: DataFrame, key: str, tie: Column, per_range: int = 500, most_ranges: int = 65_536) -> DataFrame:
+    """Rows dealt to ranges of a whole-number key, so that each can be ordered by itself and see its successor.
 
-    `order` starts with a long column. Rows are dealt to ranges of it (quantiles of the column, so
-    that ranges hold alike numbers of rows), each range is ordered on its own, and the first row of
-    the next range that has any follows a range's last row. Returns all columns and next_<c> for
-    each c in `carry`; the last row gets nulls. A null first key sorts before all others.
+    Ranges are cut at approximate quantiles of the key, about `per_range` rows each (more beyond
+    `most_ranges`, which bounds the cuts and what is broadcast). The rows with the first key of a
+    range are also sent to the range before it, marked _copy, and those with the first key of all to
+    the last range. Ordered by (_copy, _place, _tie) within a _range, each row that isn't a copy is
+    followed by its successor in the whole table. Adds _range, _copy, _place (the key; null comes
+    first) and _tie. All rows with one key are in one range.
     """
-    lead = order[0]
-    n = ids.count()
-    parts = max(1, min(2048, n // 20_000))
-    key = F.coalesce(F.col(lead), F.lit(-(1 << 63)))
+    place = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
+    n = rows.count()
+    parts = max(1, min(most_ranges, n // per_range))
     cuts: list[int] = []
     if parts > 1:
-        fractions = [i / parts for i in range(1, parts)]
-        cuts = sorted({int(x) for x in ids.agg(F.percentile_approx(key, fractions, 10 * parts)).first()[0]})
-
-    def place(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < F.lit(cuts[mid]), place(lo, mid)).otherwise(place(mid + 1, hi))
-
-    dealt = ids.withColumn("_range", place(0, len(cuts)))
-    within = Window.partitionBy("_range").orderBy(*order)
-    row = F.struct(*carry)
-    ordered = dealt.withColumn("_next", F.lead(row).over(within))
-    heads = dealt.groupBy("_range").agg(F.min_by(row, F.struct(*order)).alias("_head"))
-    heads = heads.select((F.lag("_range").over(Window.orderBy("_range"))).alias("_range"), "_head").where("_range IS NOT NULL")
-    joined = ordered.join(F.broadcast(heads), "_range", "left")  # a row for each range: 2,048 at most
-    follow = F.coalesce(F.col("_next"), F.col("_head"))
-    return joined.select(*[F.col(c) for c in ids.columns], *[follow[c].alias(f"next_{c}") for c in carry])
+        found = rows.agg(F.percentile_approx(place, [i / parts for i in range(1, parts)], max(10_000, 10 * parts))).first()[0]
+        cuts = sorted({int(x) for x in found})
+    number = F.lit(0)
+    if cuts:
+        bounds = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+        # Bisection: the number of cuts at or below the key.
+        steps = F.array(*[F.lit(1 << h) for h in reversed(range(len(cuts).bit_length()))])
+        number = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.get(bounds, at + step - 1) <= F.col("_place")), at + step).otherwise(at))
+    placed = rows.withColumn("_place", place).withColumn("_range", number)
+    heads = sorted((int(r[0]), int(r[1])) for r in placed.groupBy("_range").agg(F.min("_place")).collect())  # a row for each range
+    before = [(first, heads[i - 1][0]) for i, (_, first) in enumerate(heads)]
+    spark = rows.sparkSession
+    sent = F.broadcast(spark.createDataFrame(before, "_place long, _before int"))
+    both = placed.join(sent, "_place", "left")
+    to = F.filter(F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("c")), F.struct(F.col("_before").alias("r"), F.lit(True).alias("c"))), lambda x: x["r"].isNotNull())
+    return both.withColumn("_to", F.explode(to)).select(*rows.columns, F.col("_to.r").alias("_range"), F.col("_to.c").alias("_copy"), "_place", tie.alias("_tie"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
