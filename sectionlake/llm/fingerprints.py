@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sectionlake.llm.common import in_ranges, text_of
+from sectionlake.llm.common import in_ranges, text_of, written
 
 #: Levels of randomised subsets, sparse ones first: an MD5 of term and subset starts with hex digits below the bound.
 #: Each level has 16 subsets; the shares of the lexicon in one are 1/4096, 1/512, 1/64 and 1/8.
@@ -45,7 +45,7 @@ def lexicon(docs: DataFrame, text: str = "text", low_share: float = LOW_SHARE, h
         for k in range(PER_LEVEL * level, PER_LEVEL * (level + 1)):
             inside = F.substring(F.md5(F.concat(F.col("term"), F.lit(f"|{k}"))), 1, len(bound)) < bound
             bits = bits.bitwiseOR(F.when(inside, F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
-    return band.select("term", bits.alias("bits")).where("bits <> 0")
+    return band.select("term", bits.alias("bits"))
 
 
 def _open_levels(n_terms: Column) -> Column:
@@ -91,13 +91,14 @@ def add_fingerprints(rows: DataFrame, texts: list[str], lex: DataFrame, group: l
     small = lex.count() <= MOST_BROADCAST
     items, whole = [], []
     for i, c in enumerate(texts):
-        terms = distinct_terms(F.col(c))
-        items.append(F.struct(F.lit(i).alias("i"), terms.alias("terms"), _open_levels(F.size(terms)).alias("open")))
-        whole.append(F.concat(F.lit("="), F.md5(F.col(c))).alias(f"_w{i}"))
+        items.append(F.struct(F.lit(i).alias("i"), F.col(f"_terms{i}").alias("terms"), _open_levels(F.size(f"_terms{i}")).alias("open")))
+        whole += [F.lit(f"_w{i}"), F.concat(F.lit("="), F.md5(F.col(c)))]
     head = F.struct(F.lit(-1).alias("i"), F.array(F.lit(None).cast("string")).alias("terms"), F.lit(0).cast("long").alias("open"))
-    own = F.struct(*keep, *whole)
+    own = F.named_struct(*[x for c in keep for x in (F.lit(c), F.col(c))], *whole)
+    rows = rows.select(*rows.columns, *[distinct_terms(F.col(c)).alias(f"_terms{i}") for i, c in enumerate(texts)])
     each = rows.select(*group, own.alias("_own"), F.explode(F.array(head, *items)).alias("_t"))
-    each = each.select(*group, F.when(F.col("_t.i") < 0, F.col("_own")).alias("_own"), F.col("_t.i").alias("_i"), F.col("_t.open").alias("_open"), F.explode("_t.terms").alias("term"))
+    each = each.select(*group, F.when(F.col("_t.i") < 0, F.col("_own")).alias("_own"), F.col("_t.i").alias("_i"), F.col("_t.open").alias("_open"), F.col("_t.terms").alias("_terms"))
+    each = each.select(*group, "_own", "_i", "_open", F.explode("_terms").alias("term"))
     met = each.join(F.broadcast(lex) if small else lex, "term", "left").where((F.col("_i") < 0) | (F.col("bits").bitwiseAND(F.col("_open")) != 0))
     entry = F.struct("term", F.col("bits").bitwiseAND(F.col("_open")).alias("bits"))
     gathered = [F.array_sort(F.collect_list(F.when(F.col("_i") == i, entry))).alias(f"_e{i}") for i in range(len(texts))]
@@ -125,7 +126,7 @@ def fingerprints_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "t
     cut = F.floor(n / 4).cast("int")
     rows = rows.withColumn("_edited", F.when(F.col("_copy"), "").otherwise(F.concat(F.substring(F.col("_text"), F.lit(1), n - cut), F.substring(F.coalesce("_next", F.lit("")), F.lit(1), cut))))
     rows = rows.select("_range", "_row", "_copy", "_id", n.cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"), "_text", "_edited")
-    told = add_fingerprints(rows, ["_text", "_edited"], lexicon(docs, text), ["_range", "_row"])
+    told = add_fingerprints(rows, ["_text", "_edited"], written(lexicon(docs, text), "lexicon"), ["_range", "_row"])
     following = F.lead("_text_fp").over(Window.partitionBy("_range").orderBy("_row"))
     told = told.withColumn("_next_fp", following).where(~F.col("_copy"))
     return told.select(
