@@ -10,24 +10,30 @@ from sectionlake.llm.common import text_of, written
 WILD = "<*>"
 
 
-def _tokens(line: Column) -> Column:
-    """White-space tokens of a line; a token with a digit is a variable field from the start."""
-    parts = F.filter(F.split(line, "[ \\t\\r\\f\\x0B]+"), lambda t: t != "")
-    return F.transform(parts, lambda t: F.when(t.rlike("[0-9]"), F.lit(WILD)).otherwise(t))
+_WHITE = " \\t\\r\\f\\x0B"
+
+
+def _masked(line: Column) -> Column:
+    """A line in which every white-space token with a digit is <*>, a variable field from the start."""
+    field = f"(?<![^{_WHITE}])[^{_WHITE}0-9]*+[0-9][^{_WHITE}]*+"
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, field, WILD)).otherwise(line)
+
+
+def _tokens(masked: Column) -> Column:
+    return F.filter(F.split(masked, f"[{_WHITE}]+"), lambda t: t != "")
 
 
 def _template_lines(docs: DataFrame, key: str, text: str, leading: int, least_tokens: int) -> DataFrame:
-    """A row for each line that could be dropped: its place, leaf, template so far, and neighbours."""
-    lines = F.split(text_of(text), "\n")
-    masked = F.transform(lines, lambda x: F.regexp_replace(x, "[^ \\t\\r\\f\\x0B]*[0-9][^ \\t\\r\\f\\x0B]*", WILD))
-    hashed = F.transform(masked, lambda x: F.xxhash64(x))
-    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text_of(text)).alias("_text"), lines.alias("_lines"), hashed.alias("_hashes"))
+    """A row for each line that could be dropped: its place, its leaf, its masked text and neighbours."""
+    masked = F.transform(F.split(text_of(text), "\n"), _masked)
+    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text_of(text)).alias("_text"), masked.alias("_lines"))
+    rows = rows.select("_key", "_text", "_lines", F.transform("_lines", lambda x: F.xxhash64(x)).alias("_hashes"))
     rows = rows.select("_key", "_text", "_hashes", F.posexplode("_lines").alias("_pos", "_line"))
     near = lambda step: F.coalesce(F.get("_hashes", F.col("_pos") + step), F.lit(0).cast("long"))
-    rows = rows.select("_key", "_text", "_pos", "_line", F.get("_hashes", F.col("_pos")).alias("_h"), near(-1).alias("_prev"), near(1).alias("_next"))
-    rows = rows.withColumn("_tokens", _tokens(F.col("_line"))).where(F.size("_tokens") >= least_tokens)
+    rows = rows.select("_key", "_text", "_pos", "_line", F.get("_hashes", F.col("_pos")).alias("_h"), near(-1).alias("_prev"), near(1).alias("_next"), _tokens(F.col("_line")).alias("_tokens"))
+    rows = rows.where(F.size("_tokens") >= least_tokens)
     leaf = F.xxhash64(F.size("_tokens"), F.slice("_tokens", 1, leading))
-    return rows.select("_key", "_text", "_pos", "_h", "_prev", "_next", leaf.alias("_leaf"), "_tokens")
+    return rows.select("_key", "_text", "_pos", "_h", "_prev", "_next", leaf.alias("_leaf"), "_line")
 
 
 def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_docs: int = 3, leading: int = 3, least_tokens: int = 4, fixed: float = 0.8, diverse: float = 0.34) -> DataFrame:
@@ -46,13 +52,10 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     too few documents never meet their texts again. Nothing is kept for lines under `least_tokens`.
     """
     lines = _template_lines(docs, key, text, leading, least_tokens)
-    light = lines.select("_key", "_pos", "_h", "_leaf", "_text", "_prev", "_next")
-    leaves = light.groupBy("_leaf", "_text").agg(F.count("*").alias("n")).groupBy("_leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= least_docs).select("_leaf")
-    leaves = written(leaves, "leaves")
-    kept = written(light.join(leaves, "_leaf", "left_semi"), "lines")
-    one = kept.groupBy("_leaf", "_h", "_text").agg(F.count("*").alias("n")).groupBy("_leaf", "_h").agg(F.count("*").alias("docs"))
-    words = lines.select("_leaf", "_h", "_tokens").join(leaves, "_leaf", "left_semi").groupBy("_leaf", "_h").agg(F.first("_tokens").alias("_tokens"))
-    unique = written(one.join(words, ["_leaf", "_h"]), "unique")
+    leaves = lines.groupBy("_leaf", "_text").agg(F.count("*").alias("n")).groupBy("_leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= least_docs).select("_leaf")
+    kept = written(lines.join(written(leaves, "leaves"), "_leaf", "left_semi"), "lines")
+    words = kept.groupBy("_leaf", "_h", "_text").agg(F.min("_line").alias("_line")).groupBy("_leaf", "_h").agg(F.count("*").alias("docs"), F.min("_line").alias("_line"))
+    unique = written(words.select("_leaf", "_h", "docs", _tokens(F.col("_line")).alias("_tokens")), "unique")
     seen = unique.select("_leaf", "docs", F.posexplode("_tokens").alias("_i", "_t"))
     seen = seen.groupBy("_leaf", "_i", "_t").agg(F.count("*").alias("n"), F.max("docs").alias("docs"))
     firm = seen.where(((F.col("n") >= least_docs) | (F.col("docs") >= least_docs)) & (F.col("_t") != WILD))
