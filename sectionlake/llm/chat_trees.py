@@ -41,7 +41,7 @@ def best_paths(nodes: DataFrame, most_steps: int = 40) -> DataFrame:
     `nodes` has conversation, node, parent and, optionally, score (a message's own; null: 0). Every
     iteration joins the table with itself on the ancestor found so far, which doubles the distance
     climbed: after k of them a node knows its ancestor, depth and summed score over 2^k steps, so a
-    path of a million turns takes twenty. Leaves are ranked by their path's mean score, then its
+    path of a million turns takes twenty; nodes that have met their root take no part in later ones. Leaves are ranked by their path's mean score, then its
     length, then the lower node; a tree's first one is chosen. Each iteration is written, as are the
     marks that go back up from the chosen leaves by the same doubled steps. No path is ever held as
     a list. A parent that isn't there makes its children roots of paths; of a tree's several roots
@@ -50,28 +50,36 @@ def best_paths(nodes: DataFrame, most_steps: int = 40) -> DataFrame:
     score = F.coalesce(F.col("score").cast("double"), F.lit(0.0)) if "score" in nodes.columns else F.lit(0.0)
     base = nodes.select(F.col("conversation").alias("c"), "node", "parent", score.alias("s"))
     base = base.withColumn("c", F.coalesce(F.col("c").cast("string"), F.lit("\x00null")))
-    here = base.select(F.col("c"), F.col("node").alias("p"))
-    linked = base.join(here.withColumn("_there", F.lit(True)).distinct(), (base.c == here.c) & (base.parent == F.col("p")), "left")
-    step = linked.select(base.c, "node", F.when(F.col("_there"), F.col("parent")).alias("up"), F.when(F.col("_there"), 1).otherwise(0).cast("long").alias("d"), "s")
-    climbs = []
-    step = written(step, "climb")
+    here = base.select("c", F.col("node").alias("parent"), F.lit(True).alias("_there")).distinct()
+    linked = base.join(here, ["c", "parent"], "left")
+    step = linked.select("c", "node", F.when(F.col("_there"), F.col("parent")).alias("up"), F.when(F.col("_there"), 1).otherwise(0).cast("long").alias("d"), "s")
+    live, ended, climbs = written(step, "climb"), [], []
     for _ in range(most_steps):
-        climbs.append(step)
-        if step.where("up IS NOT NULL").isEmpty():
+        ended.append(live.where("up IS NULL"))
+        live = live.where("up IS NOT NULL")
+        if live.isEmpty():
             break
-        far = step.select("c", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("d").alias("d2"), F.col("s").alias("s2"))
-        step = step.join(far, ["c", "up"], "left").select("c", "node", F.col("up2").alias("up"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"), (F.col("s") + F.coalesce("s2", F.lit(0.0))).alias("s"))
-        step = written(step, "climb")
+        climbs.append(live)
+        known = live
+        for part in ended:
+            known = known.unionByName(part)
+        far = known.select("c", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("d").alias("d2"), F.col("s").alias("s2"))
+        live = live.join(far, ["c", "up"]).select("c", "node", F.col("up2").alias("up"), (F.col("d") + F.col("d2")).alias("d"), (F.col("s") + F.col("s2")).alias("s"))
+        live = written(live, "climb")
     else:
         raise ValueError("the replies form a cycle")
-    inner = climbs[0].where("up IS NOT NULL").select("c", F.col("up").alias("node")).distinct()
-    leaves = climbs[-1].join(inner, ["c", "node"], "left_anti")
+    depths = ended[0]
+    for part in ended[1:]:
+        depths = depths.unionByName(part)
+    leaves = depths
+    if climbs:
+        leaves = depths.join(climbs[0].select("c", F.col("up").alias("node")).distinct(), ["c", "node"], "left_anti")
     rank = F.struct((F.col("s") / (F.col("d") + 1)).alias("mean"), F.col("d"), (-F.col("node")).alias("low"))
     marks = leaves.groupBy("c").agg(F.max_by("node", rank).alias("node")).select("c", "node")
-    for step in reversed(climbs[:-1]):
-        up = step.where("up IS NOT NULL").join(marks, ["c", "node"], "left_semi").select("c", F.col("up").alias("node"))
+    for step in reversed(climbs):
+        up = step.join(marks, ["c", "node"], "left_semi").select("c", F.col("up").alias("node"))
         marks = written(marks.union(up).distinct(), "marks")
-    return climbs[-1].join(marks, ["c", "node"], "left_semi").select("c", "node", F.col("d").alias("depth"))
+    return depths.join(marks, ["c", "node"], "left_semi").select("c", "node", F.col("d").alias("depth"))
 
 
 def format_conversations(nodes: DataFrame, trained: str = "assistant") -> DataFrame:
