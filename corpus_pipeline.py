@@ -1,13 +1,48 @@
-"""The corpus pipeline: toxicity, line dedup, near-duplicate dedup, packing."""
+"""The corpus pipeline: toxicity, line dedup, near-duplicate dedup and packing, each on all that the one before kept."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sectionlake.llm import line_templates, near_duplicates, packing, toxicity
+from sectionlake.llm.common import written
+
+
+def reject_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the string-kernel machine, fitted on labels of documents.parquet, doesn't reject."""
+    model = toxicity.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, model)
+
+
+def drop_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines whose template recurs across them; n_chars follows the text."""
+    out = line_templates.drop_recurring_lines(docs)
+    n_chars = F.when(F.col("changed"), F.length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    return out.select(*[n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def keep_one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest doc_id."""
+    return near_duplicates.drop_near_duplicates(docs)
+
+
+def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of the documents' token ids, with its place in a packed sequence."""
+    import public_tokenizers
+
+    packed = packing.pack_documents(docs, public_tokenizers.path(packing.VOCABULARY))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [("toxicity", reject_toxic), ("line_dedup", drop_lines), ("near_dedup", keep_one_of_each_group), ("packing", pack)]
+#: The toxicity machine, the signatures and the tokenizer have no form in SQL; tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark, sf_dir: str) -> DataFrame:
+    """The stages over documents.parquet, each one's result written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
