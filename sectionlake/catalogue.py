@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = None
+from sectionlake.queries import lexical
+
+_MODULES = (lexical,)
+
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
+FLAGSHIP = lexical.search_tiered

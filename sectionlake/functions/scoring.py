@@ -27,7 +27,8 @@ def bm25(weight: Column, heading_hits: Column, text_hits: Column, length: Column
 
 def phrase_hits(positions: list[Column]) -> Column:
     """How often tokens stand one after the other, from the places of each."""
-    shifted = [p if i == 0 else F.transform(p, lambda x, i=i: x - i) for i, p in enumerate(positions)]
+    back = lambda p, n: F.transform(p, lambda x: x - n)
+    shifted = [back(p, n) if n else p for n, p in enumerate(positions)]
     return F.size(functools.reduce(F.array_intersect, shifted))
 
 
