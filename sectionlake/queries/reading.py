@@ -80,7 +80,7 @@ SELECT id, CASE WHEN kind = 'table' AND start = 0 THEN first_id END AS header_id
     "split_lines": f"WITH l AS (SELECT page_id, {c.sql_lines("coalesce(html, '')")} AS x FROM pages) SELECT page_id, CAST(unnest(range(len(x))) AS INTEGER) AS pos, {c.sql_collapse('unnest(x)')} AS line FROM l",
     "export_chunks": f"WITH {c.SECTIONS}, j AS (SELECT id, '{{\"id\":' || {_json_sql('id')} || ',\"text\":' || {_json_sql('text')} || ',\"source\":' || {_json_sql('path')} || '}}' AS value FROM sections) SELECT id, sha256(value) AS value_sha256, CAST(length(value) AS INTEGER) AS n FROM j",
     "offline_summary": rf"""WITH b AS (SELECT doc_id, concat_ws(' ', lang, source) AS title, {c.sql_collapse("coalesce(array_to_string(list_filter(" + c.sql_lines("coalesce(text, '')") + ", lambda x: NOT starts_with(x, '#') AND " + c.sql_strip("x") + " <> ''), chr(10)), '')")} AS body FROM documents),
-s AS (SELECT doc_id, title, CASE WHEN length(body) < 20 OR starts_with(body, '|') OR starts_with(body, '```') THEN '' WHEN regexp_matches(body, '[.!?]\s') THEN regexp_extract(body, '^(?s:(.*?[.!?]))\s', 1) ELSE body END AS sentence FROM f),
+s AS (SELECT doc_id, title, CASE WHEN length(body) < 20 OR starts_with(body, '|') OR starts_with(body, '```') THEN '' WHEN regexp_matches(body, '[.!?]\s') THEN regexp_extract(body, '^(?s:(.*?[.!?]))\s', 1) ELSE body END AS sentence FROM b),
 w AS (SELECT doc_id, CASE WHEN sentence <> '' AND lower(sentence) <> lower(title) THEN title || ' · ' || sentence ELSE title END AS whole FROM s)
 SELECT doc_id, CASE WHEN length(whole) > 160 THEN substr(whole, 1, 157) || '…' ELSE whole END AS summary FROM w""",
     "word_counts_by_kind": f"WITH {c.TURNS} SELECT kind, heading_path, count(*) AS sections, CAST(sum(length(text)) AS BIGINT) AS chars FROM turns GROUP BY ALL",
