@@ -74,7 +74,7 @@ class Darts:
                     here = np.flatnonzero((w > low_w) & (most_rank[o] > low_r))
                     if not len(here):
                         break
-                    seed = mix(e[here] + np.uint64(v * 64 + r + 1) * _MULT[0])
+                    seed = mix(e[here] + np.full(1, v * 64 + r + 1, dtype=np.uint64) * _MULT[0])
                     n = self._poisson(_unit(mix(seed ^ _MULT[1])), wide * long)
                     which = np.repeat(np.arange(len(here)), n)
                     nth = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
@@ -118,14 +118,14 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
         return hashes
     width_here = min(width, len(hashes))
     n = len(hashes) - width_here + 1
-    out = np.full(n, np.uint64(len(hashes) if len(hashes) < width else width) * _MULT[0])
+    out = np.full(n, min(len(hashes), width), dtype=np.uint64) * _MULT[0]
     for i in range(width_here):
         out = mix(out + hashes[i : i + n] * _MULT[1])
     return out
 
 
 def _signed(docs: DataFrame, key: str, text: str, width: int, bands: int, rows: int) -> DataFrame:
-    """key, _class (a hash of all words), _bands (one hash for each band); none for texts without words."""
+    """key, _class (a hash of all words), _bands (one hash for each band), _sign (a byte of each coordinate); none for texts without words."""
 
     def run(batches):
         darts, known = Darts(bands * rows), {}
@@ -146,16 +146,18 @@ def _signed(docs: DataFrame, key: str, text: str, width: int, bands: int, rows:
                 if not keys:
                     continue
                 e, o = np.concatenate(elements), np.concatenate(owner)
-                signs = darts.signatures(e, np.ones(len(e)), o, len(keys)).reshape(len(keys), bands, rows)
+                signs = darts.signatures(e, np.ones(len(e)), o, len(keys))
+                low = [x.tobytes() for x in (mix(signs) & np.uint64(255)).astype(np.uint8)]
+                signs = signs.reshape(len(keys), bands, rows)
                 band = np.zeros((len(keys), bands), dtype=np.uint64)
                 for r in range(rows):
                     band = mix(band + signs[:, :, r] * _MULT[3] + np.uint64(r))
                 ends = pa.array(np.arange(len(keys) + 1) * bands, pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, piece.column(0).type), pa.array(classes, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(band.reshape(-1).view(np.int64)))], names=["_id", "_class", "_bands"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, piece.column(0).type), pa.array(classes, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(band.reshape(-1).view(np.int64))), pa.array(low, pa.binary())], names=["_id", "_class", "_bands", "_sign"])
 
     ship_package(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, F.col(text).cast("string").alias(text)).mapInArrow(run, f"_id {kind}, _class binary, _bands array<long>")
+    return docs.select(key, F.col(text).cast("string").alias(text)).mapInArrow(run, f"_id {kind}, _class binary, _bands array<long>, _sign binary")
 
 
 def _shingled(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -185,6 +187,84 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return joined.where(near).where(common >= (na + nb - common) * F.lit(least) - 1e-9).select("a", "b")
 
 
+#: Members in a tile of a bucket, and the bytes of their sets: a task holds two tiles.
+TILE, TILE_BYTES, BLOCK = 4096, 32 << 20, 512
+
+
+def least_agreeing(coordinates: int, least: float) -> int:
+    """So many equal coordinates that a pair at similarity `least` has fewer with a chance of 4 in a million."""
+    return int(coordinates * least - 4.5 * np.sqrt(coordinates * least * (1 - least)))
+
+
+def tile_links(own: pa.Table, least: float, bands: int) -> pa.Table:
+    """(a, b) links that connect, with those known before, all similar pairs of one pair of tiles.
+
+    Rows have _id, _comp (what earlier links connect), _sign, _bands, _set, _band and side. A pair
+    counts here if the tiles' band is the first that it shares, so that it is met once. Pairs of one
+    component are skipped; of others the signatures are compared, a byte of each coordinate, and
+    what agrees often enough is decided by the sets, the likeliest first.
+    """
+    ids = own.column("_id").to_numpy()
+    comp = np.unique(own.column("_comp").to_numpy(), return_inverse=True)[1]
+    sign = np.frombuffer(b"".join(own.column("_sign").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+    band = own.column("_bands").combine_chunks().flatten().to_numpy().reshape(len(ids), bands)
+    before = int(own.column("_band")[0].as_py())
+    side = own.column("side").to_numpy()
+    sets = own.column("_set").combine_chunks()
+    sizes = np.asarray(sets.value_lengths())
+    held: dict[int, frozenset] = {}
+
+    def members(i: int) -> frozenset:
+        if i not in held:
+            held[i] = frozenset(sets[i].values.to_numpy().tolist())
+        return held[i]
+
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    alone = not len(right)
+    right = left if alone else right
+    group = np.arange(comp.max() + 1)
+    enough = least_agreeing(sign.shape[1], least)
+    out: list[tuple[int, int]] = []
+    for low in range(0, len(left), BLOCK):
+        rows = left[low : low + BLOCK]
+        cols = right[low:] if alone else right
+        open_ = group[comp[rows]][:, None] != group[comp[cols]][None, :]
+        if alone:
+            open_ &= rows[:, None] < cols[None, :]
+        open_ &= (np.minimum(sizes[rows][:, None], sizes[cols][None, :]) >= np.maximum(sizes[rows][:, None], sizes[cols][None, :]) * least - 1e-9)
+        for k in range(before):
+            open_ &= band[rows, k][:, None] != band[cols, k][None, :]
+        agree = np.zeros(open_.shape, dtype=np.uint8)
+        for k in range(sign.shape[1]):
+            agree += sign[rows, k][:, None] == sign[cols, k][None, :]
+        i, j = np.nonzero(open_ & (agree >= enough))
+        order = np.argsort(-agree[i, j].astype(np.int16), kind="stable")
+        for x, y in zip(rows[i[order]].tolist(), cols[j[order]].tolist()):
+            if group[comp[x]] == group[comp[y]]:
+                continue
+            common = len(members(x) & members(y))
+            if common >= (sizes[x] + sizes[y] - common) * least - 1e-9:
+                group[group == group[comp[x]]] = group[comp[y]]
+                out.append((ids[x], ids[y]))
+    kind = own.schema.field("_id").type
+    return pa.table([pa.array([x for x, _ in out], kind), pa.array([y for _, y in out], kind)], names=["a", "b"])
+
+
+def _tiled_links(mixed: DataFrame, signed: DataFrame, sets: DataFrame, least: float, bands: int) -> DataFrame:
+    """Links between the components that meet in buckets: each pair of a bucket's tiles is a task of its own."""
+    data = sets.join(signed.select("_id", "_sign", "_bands").dropDuplicates(["_id"]), "_id")
+    needed = mixed.select("_id").distinct()
+    data = data.join(needed, "_id", "left_semi")
+    weight = mixed.join(data.select("_id", (F.size("_set").cast("long") * 8).alias("_w")), "_id").groupBy("_bucket").agg(F.count("*").alias("_m"), F.sum("_w").alias("_w"))
+    tiles = weight.select("_bucket", F.greatest(F.ceil(F.col("_m") / TILE), F.ceil(F.col("_w") / TILE_BYTES)).cast("int").alias("_k"))
+    dealt = mixed.select("_bucket", "_band", "_id", "_comp").join(tiles, "_bucket").withColumn("_tile", F.pmod(F.xxhash64("_id"), "_k").cast("int"))
+    units = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda o: F.struct(F.least(o, F.col("_tile")).alias("i"), F.greatest(o, F.col("_tile")).alias("j"), F.when(F.col("_tile") <= o, 0).otherwise(1).alias("side")))
+    dealt = dealt.select("_bucket", "_band", "_id", "_comp", F.explode(units).alias("_u")).select("_bucket", "_band", "_id", "_comp", "_u.i", "_u.j", "_u.side")
+    kind = dict(mixed.dtypes)["_id"]
+    rows = dealt.join(data, "_id")
+    return rows.groupBy("_bucket", "i", "j").applyInArrow(lambda own: tile_links(own, least, bands), f"a {kind}, b {kind}")
+
+
 def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, bands: int = 26, rows: int = 5) -> DataFrame:
     """component_id (the smallest key reachable) and kept (that key itself) for every row's key.
 
@@ -194,11 +274,12 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     bands * rows coordinates make `bands` bucket keys; a pair at 0.8 shares none of 26 buckets of 5
     rows with a chance of 3 in 100,000.
 
-    Buckets never give all their pairs. First every member meets its bucket's most central one (the
-    member that shares buckets most often over all bands): an original meets its copies. Verified
-    pairs join into components. Then, in each bucket that still holds several components, the members
-    outside its largest one meet every member of other components, which finds every remaining link
-    among candidates: pairs within one component are already decided. Both steps check real sets.
+    Buckets never give all their pairs to the shuffle. First every member meets its bucket's most
+    central one (the member that shares buckets most often over all bands): an original meets its
+    copies. Verified pairs join into components. Buckets that still hold several components are dealt
+    to tiles; a pair of tiles is compared in one task, by signatures and then real sets, and gives
+    back only links between components. So every pair of a bucket is decided, and none within a
+    component need be.
 
     Keys are whole numbers. Null keys, and null or empty texts and such without words, link with
     nothing: component_id is their own key, kept true. Rows that repeat a key share its class (kept
@@ -210,7 +291,7 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     copies = members.where("_id <> _rep").distinct()
     alone = reps.select(F.col("_rep").alias("_id"), "_class")
     cells = signed.join(alone, ["_id", "_class"], "left_semi").select("_id", F.posexplode("_bands").alias("_band", "_hash"))
-    cells = cells.select("_id", F.xxhash64("_band", "_hash").alias("_bucket")).distinct()
+    cells = cells.select("_id", "_band", F.xxhash64("_band", "_hash").alias("_bucket")).distinct()
     counts = cells.groupBy("_bucket").agg(F.count("*").alias("_n")).where("_n > 1")
     cells = written(cells.join(counts, "_bucket"), "cells")
     central = cells.groupBy("_id").agg(F.sum("_n").alias("_c"))
@@ -223,16 +304,12 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     sets = written(_shingled(wanted, key, text, width), "sets")
     links = written(similar_pairs(star, sets, least), "links")
     known = components(links)
-    placed = cells.select("_bucket", "_id").join(known.withColumnRenamed("node", "_id"), "_id", "left")
-    placed = written(placed.select("_bucket", "_id", F.coalesce("component", "_id").alias("_comp")), "placed")
-    shares = placed.groupBy("_bucket", "_comp").agg(F.count("*").alias("_m"))
-    largest = shares.groupBy("_bucket").agg(F.count("*").alias("_comps"), F.max_by("_comp", F.struct("_m", -F.col("_comp"))).alias("_main")).where("_comps > 1").drop("_comps")
-    mixed = written(placed.join(largest, "_bucket"), "mixed")
-    rest = mixed.where("_comp <> _main").select("_bucket", F.col("_id").alias("a"), F.col("_comp").alias("_ca"))
-    other = mixed.select("_bucket", F.col("_id").alias("b"), F.col("_comp").alias("_cb"), "_main")
-    more = rest.join(other, "_bucket").where("_ca <> _cb AND (_cb = _main OR a < b)")
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    links = links.union(similar_pairs(more, sets, least)).union(copies.select(F.col("_id").alias("a"), F.col("_rep").alias("b")))
+    placed = cells.select("_bucket", "_band", "_id").join(known.withColumnRenamed("node", "_id"), "_id", "left")
+    placed = written(placed.select("_bucket", "_band", "_id", F.coalesce("component", "_id").alias("_comp")), "placed")
+    several = placed.groupBy("_bucket").agg(F.min("_comp").alias("_least"), F.max("_comp").alias("_most")).where("_least <> _most").select("_bucket")
+    mixed = written(placed.join(several, "_bucket", "left_semi"), "mixed")
+    more = written(_tiled_links(mixed, signed, sets, least, bands), "more")
+    links = links.union(more).union(copies.select(F.col("_id").alias("a"), F.col("_rep").alias("b")))
     classes = components(links).select(F.col("node").alias("_node"), F.col("component").alias("_component"))
     out = docs.select(key).join(classes, F.col(key) == F.col("_node"), "left")
     component = F.coalesce("_component", key)
