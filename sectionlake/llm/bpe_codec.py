@@ -16,6 +16,8 @@ from sectionlake.llm.bpe import byte_alphabet, latin_classes, merge_table
 from sectionlake.llm.token_counts import slices
 
 VOCABULARY = "word_bpe_49k.json"
+#: Before a word that is in the alphabet of the vocabulary's bytes already; no valid text has this sign.
+MAPPED = "\udfff"
 
 
 class WordCodec:
@@ -56,7 +58,7 @@ class WordCodec:
         if text.isascii() or self.plain(text) and self._composed(text):
             return self.words(text.lower())
         normal = self.library.normalizer.normalize_str(text)
-        return ["\0" + w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+        return [MAPPED + w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
     @staticmethod
     def _composed(text: str) -> bool:
@@ -81,7 +83,7 @@ class WordCodec:
 
     def learn(self, words: list[str]) -> None:
         """Encode new words together."""
-        mapped = [w[1:] if w[0] == "\0" else "".join([self.alphabet[b] for b in w.encode("utf-8", "surrogatepass")]) for w in words]
+        mapped = [w[1:] if w[0] == MAPPED else "".join([self.alphabet[b] for b in w.encode("utf-8", "surrogatepass")]) for w in words]
         guesses = [self.propose(m) for m in mapped]
         sizes = np.array([len(g) for g in guesses])
         flat = np.fromiter((t for g in guesses for t in g), dtype=np.int64, count=int(sizes.sum()))
