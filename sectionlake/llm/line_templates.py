@@ -46,7 +46,8 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     if at least the share `fixed` of its tokens is left. It recurs if lines of at least `least_docs`
     different texts have it, with as many different lines before and after them, and these
     neighbours number at least the share `diverse` of those texts: a passage that stands in copies
-    of one document has the neighbours of that document, and is left to the dedup of documents.
+    of one document has the neighbours of that document, and is left to the dedup of documents. So is
+    a block of several recurring lines that always stand together: each is the other's neighbour.
 
     Lines are counted by hash first, so a line's many copies are one row from then on; leaves with
     too few documents never meet their texts again. Nothing is kept for lines under `least_tokens`.
@@ -87,14 +88,15 @@ def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     places = recurring_lines(docs.where(F.col(key).isNotNull()), key, text, **options)
     gone = places.groupBy(F.col(key).alias("_gone_key")).agg(F.collect_list("pos").alias("_gone"))
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "changed")]
-    joined = docs.select(*own).join(gone, F.col(key) == F.col("_gone_key"), "left")
-    lines = F.split(text_of(text), "\n")
+    rows = docs.select(F.struct(*own).alias("_row"), F.col(key).alias("_key"), text_of(text).alias("_whole"))
+    joined = rows.join(gone, F.col("_key") == F.col("_gone_key"), "left")
+    lines = F.split("_whole", "\n")
     left = F.filter(lines, lambda line, i: ~F.array_contains("_gone", i))
-    whole = F.when(text_of(text) == "", F.lit(0)).otherwise(F.size(lines))
+    n = F.when(F.col("_whole") == "", F.lit(0)).otherwise(F.size(lines))
     dropped = F.coalesce(F.size(F.filter("_gone", lambda p: p < F.size(lines))), F.lit(0))
     # In two steps: within one select Spark would take the new text for the old one inside a lambda.
-    told = joined.withColumns({"n_lines": whole, "n_dropped": dropped, "changed": dropped > 0, "_left": F.array_join(left, "\n")})
-    columns = [F.when(F.col("changed"), F.col("_left")).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in own]
+    told = joined.select("_row", n.alias("n_lines"), dropped.alias("n_dropped"), (dropped > 0).alias("changed"), F.array_join(left, "\n").alias("_left"))
+    columns = [(F.when(F.col("changed"), F.col("_left")).otherwise(F.col("_row")[c]) if c == text else F.col("_row")[c]).alias(c) for c in own]
     return told.select(*columns, "n_lines", "n_dropped", "changed")
 
 

@@ -319,7 +319,8 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows whose key is their class's smallest; see near_duplicate_classes."""
     classes = near_duplicate_classes(docs, key, text, **options).where(~F.col("kept")).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(classes, F.col(key) == F.col("_gone"), "left_anti")
+    rows = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"))
+    return rows.join(classes, F.col("_key") == F.col("_gone"), "left_anti").select("_row.*")
 
 
 def op2_dart_minhash(spark, sf_dir: str) -> DataFrame:

@@ -34,7 +34,9 @@ def extendible_shards(df: DataFrame, key: str = "doc_id", size: str | None = Non
     n_bytes = F.coalesce(F.col(size).cast("long"), F.lit(0)) if size else F.octet_length(text_of(text)).cast("long")
     others = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c, kind in df.dtypes if c != key and c not in added and not kind.startswith(("map", "array", "struct", "variant"))]
     own = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    base = df.withColumns({"n_bytes": n_bytes, "_bits": _bits([own])})
+    kept = [c for c in df.columns if c not in added]
+    row = F.struct(*kept) if kept else F.lit(None).cast("struct<x:int>")
+    base = df.select(row.alias("_row"), n_bytes.alias("n_bytes"), _bits([own]).alias("_bits"), F.concat_ws("\x1f", own, *others).alias("_whole"))
     total, rows = base.agg(F.sum("n_bytes"), F.count("*")).first()
     start = max(0, ((total or 0) // max(limit_bytes, 1)).bit_length() + 2) if rows else 0
 
@@ -59,7 +61,7 @@ def extendible_shards(df: DataFrame, key: str = "doc_id", size: str | None = Non
         if large.isEmpty():
             break
         if high == BITS:  # one key fills the bucket: the other columns part its rows
-            bits = base.withColumn("_bits", F.concat("_bits", _bits([own, *others])))
+            bits = base.withColumn("_bits", F.concat("_bits", _bits([F.col("_whole")])))
         low, high = high, min(high + step, BITS if high < BITS else 2 * BITS)
         within = bits.withColumn("shard", F.substring("_bits", 1, low)).join(large.select("shard"), "shard", "left_semi")
         deeper = leaves(census(within, high), low, high).where(F.col("depth") > low)
@@ -67,12 +69,11 @@ def extendible_shards(df: DataFrame, key: str = "doc_id", size: str | None = Non
     depths = sorted(r[0] for r in directory.select("depth").distinct().collect())  # at most 120 numbers
     # A row's shard is the one prefix of its bits that the directory holds; depths are few.
     prefixes = F.array(*[F.substring("_bits", 1, d) for d in depths]) if depths else F.array(F.lit(""))
-    keep = [F.col(c) for c in df.columns if c not in added]
-    rows_df = bits.select(*keep, "n_bytes", "_bits")
+    rows_df = bits.select("_row", "n_bytes", "_bits")
     sized = directory.select("shard", F.col("depth").cast("int").alias("depth"), F.col("bytes").alias("shard_bytes"))
     entries = F.broadcast(sized) if directory.count() <= 200_000 else sized  # 60 bytes an entry: 12 MB at most
     out = rows_df.withColumn("shard", F.explode(prefixes)).join(entries, "shard")
-    return out.select(*[F.col(c) for c in df.columns if c not in added], "n_bytes", "shard", "depth", "shard_bytes", (F.col("shard_bytes") > limit_bytes).alias("over_limit"))
+    return out.select(*[F.col("_row")[c].alias(c) for c in kept], "n_bytes", "shard", "depth", "shard_bytes", (F.col("shard_bytes") > limit_bytes).alias("over_limit"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
