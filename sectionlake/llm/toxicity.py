@@ -15,7 +15,7 @@ from sectionlake.llm.token_counts import slices
 from sectionlake.session import ship_package
 
 #: Subsequences of so many letters; a letter between them, in either string, costs the factor GAP.
-LENGTH, GAP = 4, 0.5
+LENGTH, GAP = 4, 0.6
 #: The kernel of two words is this power of the subsequence kernel, so that near misses count for little.
 POWER = 3
 #: Longer words are scored by windows of so many letters that overlap by half.
@@ -23,10 +23,14 @@ WINDOW = 24
 #: A sentence has at most so many words; a longer one is several.
 SENTENCE = 64
 #: The bounded sample for fitting: labelled documents of each class, and the most characters of one.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 800, 1_600, 20_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 800, 1_600, 12_000
 THRESHOLD = 0.3
 #: A landmark stands in toxic documents at so many times the rate of clean ones.
 LIFT = 4.0
+#: So much of the toxic sample counts with a letter put into its toxic words, when scores are calibrated.
+DISGUISED = 0.1
+#: The lengths of landmarks.
+PIECES = (4, 6, 8)
 #: Words whose scores a worker remembers.
 MOST_WORDS = 800_000
 _APART = re.compile(r"[\W_]+")
@@ -77,6 +81,7 @@ class Model:
     curve: np.ndarray
     prior: float
     known: dict[str, int] = field(default_factory=dict)
+    forms: dict[str, float] = field(default_factory=dict)
     scores: np.ndarray = field(default_factory=lambda: np.zeros(1024, dtype=np.float32))
     ends: np.ndarray = field(default_factory=lambda: np.zeros(1024, dtype=bool))
     single: np.ndarray = field(default_factory=lambda: np.zeros(1024, dtype=bool))
@@ -90,7 +95,10 @@ class Model:
     def learn(self, words: list[str]) -> None:
         """Score new words and remember them."""
         first = len(self.known)
-        values = word_features([letters(w) for w in words], self.landmarks) @ self.weights
+        forms = [letters(w) for w in words]
+        new = list({f for f in forms if f not in self.forms})
+        self.forms.update(zip(new, (word_features(new, self.landmarks) @ self.weights).tolist()))
+        values = [self.forms[f] for f in forms]
         if first + len(words) > len(self.scores):
             size = 2 * (first + len(words))
             self.scores, self.ends, self.single = (np.concatenate([a[:first], np.zeros(size - first, a.dtype)]) for a in (self.scores, self.ends, self.single))
@@ -110,6 +118,7 @@ class Model:
         seen = set(flat)
         if len(self.known) + len(seen) > MOST_WORDS:
             self.known.clear()
+            self.forms.clear()
         if new := [w for w in seen if w not in self.known]:
             self.learn(new)
         ids = np.fromiter(map(self.known.__getitem__, flat), dtype=np.int64, count=len(flat))
@@ -162,7 +171,7 @@ def _codes(words: list[str], width: int) -> np.ndarray:
 
 def word_features(words: list[str], landmarks: list[str]) -> np.ndarray:
     """The word kernel with each landmark; words (letters only) beyond WINDOW take the most of their windows."""
-    out = np.zeros((len(words), len(landmarks)))
+    out = np.zeros((len(words), len(landmarks)), dtype=np.float32)
     marks = [_codes([x], len(x))[0] for x in landmarks]
     parts, owner = [], []
     for i, w in enumerate(words):
@@ -172,18 +181,33 @@ def word_features(words: list[str], landmarks: list[str]) -> np.ndarray:
                 owner.append(i)
     sizes = np.array([len(p) for p in parts], dtype=np.int64)
     order = np.argsort(sizes, kind="stable")
+    alphabet = np.unique(np.concatenate(marks)) if marks else np.zeros(0, np.uint32)
+    # For each landmark and letter (the last row: any other one): the places of the letter in the landmark, as bits.
+    places = [np.array([*(int(sum(1 << i for i in np.flatnonzero(m == a))) for a in alphabet), 0], dtype=np.uint16) for m in marks]
     for low in range(0, len(order), 4096):
         at = order[low : low + 4096]
         codes = _codes([parts[i] for i in at.tolist()], int(sizes[at[-1]]))
         of = np.array([owner[i] for i in at.tolist()])
+        near = np.minimum(np.searchsorted(alphabet, codes), max(0, len(alphabet) - 1))
+        letter = np.where(alphabet[near] == codes, near, len(alphabet)).T
         for k, mark in enumerate(marks):
-            shared = np.zeros(len(at), dtype=np.int16)
-            for letter in np.unique(mark):
-                shared += np.minimum((codes == letter).sum(axis=1), int((mark == letter).sum())).astype(np.int16)
-            able = np.flatnonzero(shared >= LENGTH)
+            able = np.flatnonzero(_longest_common(places[k][letter], len(mark)) >= LENGTH)
             if len(able):
-                np.maximum.at(out[:, k], of[able], subsequence_kernel(codes[able], mark).astype(np.float64))
-    return out**POWER
+                np.maximum.at(out[:, k], of[able], subsequence_kernel(codes[able], mark))
+    return np.power(out, POWER, out=out)
+
+
+def _longest_common(met: np.ndarray, size: int) -> np.ndarray:
+    """The longest common subsequence of words with a string of `size` letters, all words a letter at a time by bits.
+
+    Below LENGTH the kernel is zero. met[j] has, of each word's letter j, its places in the string.
+    """
+    whole = np.uint16((1 << size) - 1)
+    open_ = np.full(met.shape[1], whole, dtype=np.uint16)
+    for here in met:
+        used = open_ & here
+        open_ = ((open_ + used) | (open_ - used)) & whole
+    return size - np.bitwise_count(open_).astype(np.int64)
 
 
 def sentences(text: str) -> list[list[str]]:
@@ -198,7 +222,7 @@ def sentences(text: str) -> list[list[str]]:
 
 
 def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int) -> list[str]:
-    """Pieces of words (4 to 8 signs) that far more toxic documents hold than clean ones.
+    """Pieces of words (of the lengths PIECES) that far more toxic documents hold than clean ones.
 
     A piece must stand in 2 % of the toxic documents (3 at least), at LIFT times the clean rate. The
     next piece is the one with the largest sum, over the toxic documents that hold it, of 1/2 to the
@@ -207,12 +231,17 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int) ->
     """
 
     def pieces(words: set[str]) -> set[str]:
-        return {w[i : i + n] for w in words for n in range(LENGTH, 9) for i in range(len(w) - n + 1)}
+        return {w[i : i + n] for w in words for n in PIECES for i in range(len(w) - n + 1)}
 
     least = max(3, len(toxic) // 50)
+    # Counts by hash first, so that only pieces that may be frequent are ever kept.
+    rough = np.zeros(1 << 22, dtype=np.int32)
+    for words in toxic:
+        np.add.at(rough, _buckets(pieces(words)), 1)
     often: Counter[str] = Counter()
     for words in toxic:
-        often.update(pieces(words))
+        own = list(pieces(words))
+        often.update([own[i] for i in np.flatnonzero(rough[_buckets(own)] >= least).tolist()])
     held: dict[str, list[int]] = {p: [] for p, n in often.items() if n >= least}
     for d, words in enumerate(toxic):
         for p in pieces(words) & held.keys():
@@ -235,6 +264,10 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int) ->
     return chosen
 
 
+def _buckets(pieces) -> np.ndarray:
+    return np.fromiter(map(hash, pieces), dtype=np.int64, count=len(pieces)) & ((1 << 22) - 1)
+
+
 def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
     """Normal and bias of a linear support vector machine with squared hinge loss, by Newton's steps."""
     z = np.hstack([x, np.ones((len(x), 1))])
@@ -242,9 +275,9 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float =
     keep[-1] = 1e-9
     w = np.zeros(z.shape[1])
     inside = np.ones(len(z), dtype=bool)
-    for _ in range(50):
-        c = cost * inside
-        w = np.linalg.solve(np.diag(keep) + (z * c[:, None]).T @ z, (z * c[:, None]).T @ y)
+    for _ in range(25):
+        own, c = z[inside], cost[inside]
+        w = np.linalg.solve(np.diag(keep) + (own * c[:, None]).T @ own, (own * c[:, None]).T @ y[inside])
         now = y * (z @ w) < 1
         if (now == inside).all():
             break
@@ -269,11 +302,25 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
     return b
 
 
+def disguised(text: str, model: Model) -> str:
+    """A text whose toxic words have a letter put into their middle, the same one for a word at all times."""
+
+    def hide(m: re.Match) -> str:
+        word = m[0]
+        if len(word) < LENGTH or model.forms.get(letters(word.lower()), 0.0) < 0.5:
+            return word
+        return word[: len(word) // 2] + chr(97 + sum(map(ord, word)) % 26) + word[len(word) // 2 :]
+
+    model.evidence([text])
+    return re.sub(r"\S+", hide, text)
+
+
 def fit(toxic: list[str], clean: list[str], prior: float, most_landmarks: int = 48, most_sentences: int = 30_000, rounds: int = 3) -> Model:
     """Fit on labelled documents, whose sentences take their labels by multiple-instance learning.
 
     All sentences of clean documents are clean. Of a toxic document, those that hold a landmark are
-    toxic in the first round; later those with a positive value and the one of the highest value.
+    toxic in the first round; later those with a positive value and the one of the highest value. The
+    calibration sees every toxic document once more with disguised words.
     """
     if not toxic or not clean:
         return Model([], np.zeros(0), 0.0, np.zeros(4), prior)
@@ -284,7 +331,7 @@ def fit(toxic: list[str], clean: list[str], prior: float, most_landmarks: int =
     vocabulary = sorted(set().union(*words[0], *words[1]))
     index = {w: i for i, w in enumerate(vocabulary)}
     raw = word_features(vocabulary, landmarks)
-    gram = word_features(landmarks, landmarks)
+    gram = word_features(landmarks, landmarks).astype(np.float64)
     scale = np.sqrt(np.maximum(np.diag(gram), 1e-12))
     values, axes = np.linalg.eigh((gram + gram.T) / 2 / scale[:, None] / scale[None, :])
     root = axes @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ axes.T
@@ -316,9 +363,11 @@ def fit(toxic: list[str], clean: list[str], prior: float, most_landmarks: int =
         np.maximum.at(best, ot, value)
         positive = (value > 0) | (value >= best[ot])
     model = Model(landmarks, project @ w, b, np.zeros(4), prior)
-    told = np.vstack([model.evidence(toxic), model.evidence(clean)])
-    y = np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))])
-    weight = np.where(y == 1, prior * len(y) / len(toxic), (1 - prior) * len(y) / len(clean))
+    hidden = [disguised(t, model) for t in toxic]
+    told = np.vstack([model.evidence(toxic), model.evidence(hidden), model.evidence(clean)])
+    y = np.concatenate([np.ones(2 * len(toxic)), np.zeros(len(clean))])
+    share = np.concatenate([np.full(len(toxic), 1 - DISGUISED), np.full(len(toxic), DISGUISED)]) * prior / len(toxic)
+    weight = np.concatenate([share, np.full(len(clean), (1 - prior) / len(clean))]) * len(y)
     model.curve = calibrate(told, y, weight)
     return model
 
