@@ -23,7 +23,7 @@ def watch_folder(spark: SparkSession, corpus: str, root: str, checkpoint: str, l
         if reports is not None:
             reports.append(report)
 
-    arrivals = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(corpus).select("path", "modificationTime")
+    arrivals = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(corpus).select("path", "modificationTime")
     return arrivals.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
