@@ -17,15 +17,16 @@ MOST_HITS = 50
 def postings_of(sections: DataFrame) -> DataFrame:
     """A row for each term of each section: where it stands in heading and text, and the section's length.
 
-    `sections` has id, path, heading_path and text. One shuffle, by section and term.
+    `sections` has id, path, heading_path and text. Sections are dealt out once, by id; a section's
+    terms come together where it is.
     """
     heading, body = text.index_tokens(F.col("heading_path")), text.index_tokens(F.col("text"))
-    rows = sections.select("id", "path", heading.alias("_h"), body.alias("_b"))
+    rows = sections.repartition("id").select("id", "path", heading.alias("_h"), body.alias("_b"))
     field = lambda name, flag: F.transform(F.col(name), lambda t, i: F.struct(t.alias("term"), F.lit(flag).alias("inside"), i.alias("at")))
     each = rows.select("id", "path", (F.size("_h") + F.size("_b")).alias("length"), F.explode(F.concat(field("_h", False), field("_b", True))).alias("_t"))
     each = each.select("id", "path", "length", "_t.term", "_t.inside", "_t.at")
     place = lambda inside: F.array_sort(F.collect_list(F.when(F.col("inside") == inside, F.col("at"))))
-    grouped = each.groupBy("term", "id", "path", "length").agg(place(False).alias("heading_at"), place(True).alias("text_at"))
+    grouped = each.groupBy("id", "path", "length", "term").agg(place(False).alias("heading_at"), place(True).alias("text_at"))
     return grouped.select("term", "id", "path", "length", "heading_at", "text_at")
 
 
@@ -45,6 +46,19 @@ def words_of(query: str) -> list[str]:
     return [t for t in (x.strip("._-") for x in re.findall(rf"{word}[\w.\-]*", low)) if t]
 
 
+def holding(sections: DataFrame, tokens: list[str]) -> DataFrame:
+    """The sections with one of the tokens somewhere in heading or text, as a part of it: no other can hold it as a token.
+
+    For searches without a store: what is left is tokenised.
+    """
+    fields = [text.fold(F.lower(c)) for c in ("heading_path", "text")]
+    some = F.lit(False)
+    for t in {fold_token(t) for t in tokens}:
+        for f in fields:
+            some = some | F.contains(f, F.lit(t))
+    return sections.where(some)
+
+
 def _field_positions(tokens: list[str], field: str) -> list[Column]:
     """The places of each query token in a field, from the map of a section's terms."""
     none = F.array().cast("array<int>")

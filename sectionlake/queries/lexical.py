@@ -56,7 +56,8 @@ def _search(spark, sf_dir: str, query: str, limit: int | None, within: list[str]
     sections = _sections(spark, sf_dir)
     rows, tokens = lexical.corpus_size(sections)
     scope = text.path_filter(F.col("path"), within)
-    hits = lexical.ranked(lexical.postings_of(sections), rows, tokens / max(1, rows), lexical.words_of(query), scope).where(F.col("tier").isin(*tiers))
+    words = lexical.words_of(query)
+    hits = lexical.ranked(lexical.postings_of(lexical.holding(sections, words)), rows, tokens / max(1, rows), words, scope).where(F.col("tier").isin(*tiers))
     best = lexical.top(hits, limit) if limit else hits
     return best.select("id", "path", "tier", F.round("score", 6).alias("score"))
 
@@ -110,7 +111,8 @@ def acl_scoped_search(spark, sf_dir: str) -> DataFrame:
     """A search under an access list that is a table: sources with an even number; the list scopes rows, not statistics."""
     sections = _sections(spark, sf_dir)
     rows, tokens = lexical.corpus_size(sections)
-    hits = lexical.ranked(lexical.postings_of(sections), rows, tokens / max(1, rows), lexical.words_of(RARE))
+    words = lexical.words_of(RARE)
+    hits = lexical.ranked(lexical.postings_of(lexical.holding(sections, words)), rows, tokens / max(1, rows), words)
     allowed = table(spark, sf_dir, "documents").where(F.regexp_extract("source", r"(\d+)$", 1).try_cast("int") % 2 == 0).select(c.paths().alias("path")).distinct()
     best = lexical.top(hits.join(allowed, "path", "left_semi"), 20)
     return best.select("id", "tier", F.round("score", 6).alias("score"))

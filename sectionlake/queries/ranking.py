@@ -44,7 +44,8 @@ def hybrid_rrf(spark, sf_dir: str) -> DataFrame:
 def _lexical(spark, sf_dir: str) -> DataFrame:
     sections = c.document_sections(spark, sf_dir)
     rows, tokens = words.lexical.corpus_size(sections)
-    return words.lexical.ranked(words.lexical.postings_of(sections), rows, tokens / max(1, rows), words.lexical.words_of(words.RARE))
+    asked = words.lexical.words_of(words.RARE)
+    return words.lexical.ranked(words.lexical.postings_of(words.lexical.holding(sections, asked)), rows, tokens / max(1, rows), asked)
 
 
 def _runs(spark, sf_dir: str) -> DataFrame:
