@@ -51,13 +51,14 @@ def with_header(sections: DataFrame) -> DataFrame:
 def around(sections: DataFrame, ids: DataFrame, before: int, after: int, itself: bool = True) -> DataFrame:
     """The sections at most so many places before and after each of `ids` (asked), in its document.
 
-    One join on the document and a range of ordinals. Adds asked, the id that was asked for.
+    Every asked place names the few places around it, so that one equi-join on document and ordinal
+    finds them, however long a document is. Adds asked, the id that was asked for.
     """
     place = sections.join(ids.select(F.col("id").alias("asked")).distinct(), F.col("id") == F.col("asked"), "inner")
-    place = place.select("asked", "doc_id", F.col("ordinal").alias("_at"))
-    near = sections.join(place, "doc_id").where((F.col("ordinal") >= F.col("_at") - before) & (F.col("ordinal") <= F.col("_at") + after))
+    spots = F.explode(F.sequence(F.col("ordinal") - before, F.col("ordinal") + after)).alias("ordinal")
+    near = sections.join(place.select("asked", "doc_id", spots), ["doc_id", "ordinal"])
     near = near if itself else near.where(F.col("id") != F.col("asked"))
-    return near.drop("_at")
+    return near
 
 
 def grep(sections: DataFrame, pattern: str, regex: bool = False, within: Column | None = None, unicode: bool = False) -> DataFrame:

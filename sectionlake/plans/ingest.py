@@ -221,7 +221,7 @@ def _ingest(spark, corpus, root, found, parse, limits, index_budget, summarizer,
             fresh = lexical.postings_of(new_sections.select("id", "path", "heading_path", "text"))
             paths = good.select("path").unionByName(gone).distinct()
             whole = old.table("postings").join(paths, "path", "left_anti").select(*fresh.columns).unionByName(fresh)
-            postings = write("postings", whole.repartition("term"), "term", "id")
+            postings = write("postings", whole.repartitionByRange("term", "id"), "term", "id")  # a term in most sections fills many files
             write("terms", postings.groupBy("term").agg(F.count("*").alias("df")), "term")
             rows, tokens = lexical.corpus_size(sections)
             manifest |= {"sections": rows, "tokens": tokens, "documents": documents.count()}
