@@ -20,12 +20,17 @@ def _masked(line: Column) -> Column:
 
 
 def _tokens(masked: Column) -> Column:
-    return F.filter(F.split(masked, f"[{_WHITE}]+"), lambda t: t != "")
+    """White-space tokens; most lines have single spaces alone, for which a plain split does."""
+    odd = masked.startswith(" ") | masked.endswith(" ") | F.contains(masked, F.lit("  ")) | (masked == "")
+    for sign in "\t\r\f\x0b":
+        odd = odd | F.contains(masked, F.lit(sign))
+    return F.when(odd, F.filter(F.split(masked, f"[{_WHITE}]+"), lambda t: t != "")).otherwise(F.split(masked, " "))
 
 
 def _template_lines(docs: DataFrame, key: str, text: str, leading: int, least_tokens: int) -> DataFrame:
     """A row for each line that could be dropped: its place, its leaf, its masked text and neighbours."""
-    masked = F.transform(F.split(text_of(text), "\n"), _masked)
+    plain = F.split(text_of(text), "\n")
+    masked = F.when(text_of(text).rlike("[0-9]"), F.transform(plain, _masked)).otherwise(plain)
     rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text_of(text)).alias("_text"), masked.alias("_lines"))
     rows = rows.select("_key", "_text", "_lines", F.transform("_lines", lambda x: F.xxhash64(x)).alias("_hashes"))
     rows = rows.select("_key", "_text", "_hashes", F.posexplode("_lines").alias("_pos", "_line"))
@@ -88,8 +93,9 @@ def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     places = recurring_lines(docs.where(F.col(key).isNotNull()), key, text, **options)
     gone = places.groupBy(F.col(key).alias("_gone_key")).agg(F.collect_list("pos").alias("_gone"))
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "changed")]
-    rows = docs.select(F.struct(*own).alias("_row"), F.col(key).alias("_key"), text_of(text).alias("_whole"))
+    rows = docs.select(F.struct(*own).alias("_row"), F.col(key).alias("_key"))
     joined = rows.join(gone, F.col("_key") == F.col("_gone_key"), "left")
+    joined = joined.select("_row", "_gone", F.coalesce(F.col("_row")[text].cast("string"), F.lit("")).alias("_whole"))
     lines = F.split("_whole", "\n")
     left = F.filter(lines, lambda line, i: ~F.array_contains("_gone", i))
     n = F.when(F.col("_whole") == "", F.lit(0)).otherwise(F.size(lines))
@@ -101,7 +107,7 @@ def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
 
 
 def op9_line_templates(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = drop_recurring_lines(docs)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(text_of(), 256).alias("text_sha256"))
 
