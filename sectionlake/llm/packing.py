@@ -48,11 +48,13 @@ class WordIds:
 
     def _segment(self, text: str) -> bytes:
         if self.plain(text):
-            known, alphabet = self.known, self.alphabet
-            words = self.words(text)
-            for w in [w for w in set(words) if w not in known]:
-                known[w] = self._model("".join([alphabet[b] for b in w.encode()]))
-            return b"".join([known[w] for w in words])
+            words, look = self.words(text), self.known.__getitem__
+            try:
+                return b"".join(map(look, words))
+            except KeyError:
+                for w in [w for w in set(words) if w not in self.known]:
+                    self.known[w] = self._model("".join([self.alphabet[b] for b in w.encode()]))
+            return b"".join(map(look, words))
         out = []
         for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text):
             if w not in self.mapped:
