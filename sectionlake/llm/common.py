@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,29 +62,34 @@ def in_ranges(rows: DataFrame, key: str, tie: Column, per_range: int = 500, most
     range are also sent to the range before it, marked _copy, and those with the first key of all to
     the last range. Ordered by (_copy, _place, _tie) within a _range, each row that isn't a copy is
     followed by its successor in the whole table. Adds _range, _copy, _place (the key; null comes
-    first) and _tie. All rows with one key are in one range.
+    first) and _tie. `tie` orders the rows of one key and starts with hexadecimal digits: a key that
+    fills more than a range has its rows parted by the first three of them. Rows that are equal in
+    key and tie are in one range.
     """
     place = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
     n = rows.count()
     parts = max(1, min(most_ranges, n // per_range))
-    cuts: list[int] = []
+    found: list[int] = []
     if parts > 1:
-        found = rows.agg(F.percentile_approx(place, [i / parts for i in range(1, parts)], max(10_000, 10 * parts))).first()[0]
-        cuts = sorted({int(x) for x in found})
+        found = [int(x) for x in rows.agg(F.percentile_approx(place, [i / parts for i in range(1, parts)], max(10_000, 10 * parts))).first()[0]]
+    full = sorted(k for k, times in Counter(found).items() if times > 1)
+    cuts = sorted({*found, *(k + 1 for k in full)})  # a full key has its range to itself
     number = F.lit(0)
     if cuts:
         bounds = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
         # Bisection: the number of cuts at or below the key.
         steps = F.array(*[F.lit(1 << h) for h in reversed(range(len(cuts).bit_length()))])
         number = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.get(bounds, at + step - 1) <= F.col("_place")), at + step).otherwise(at))
-    placed = rows.withColumn("_place", place).withColumn("_range", number)
-    heads = sorted((int(r[0]), int(r[1])) for r in placed.groupBy("_range").agg(F.min("_place")).collect())  # a row for each range
-    before = [(first, heads[i - 1][0]) for i, (_, first) in enumerate(heads)]
+    part = F.when(F.col("_place").isin(full), F.conv(F.substring(F.col("_tie"), 1, 3), 16, 10).cast("long")).otherwise(F.lit(0)) if full else F.lit(0)
+    placed = rows.withColumn("_place", place).withColumn("_tie", tie.cast("string"))
+    placed = placed.withColumn("_part", part.cast("long")).withColumn("_range", number * F.lit(4096).cast("long") + F.col("_part"))
+    heads = sorted((int(r[0]), int(r[1].p), int(r[1].q)) for r in placed.groupBy("_range").agg(F.min(F.struct(F.col("_place").alias("p"), F.col("_part").alias("q")))).collect())  # a row for each range
+    before = [(p, q, heads[i - 1][0]) for i, (_, p, q) in enumerate(heads)]
     spark = rows.sparkSession
-    sent = F.broadcast(spark.createDataFrame(before, "_place long, _before int"))
-    both = placed.join(sent, "_place", "left")
+    sent = F.broadcast(spark.createDataFrame(before, "_place long, _part long, _before long"))
+    both = placed.join(sent, ["_place", "_part"], "left")
     to = F.filter(F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("c")), F.struct(F.col("_before").alias("r"), F.lit(True).alias("c"))), lambda x: x["r"].isNotNull())
-    return both.withColumn("_to", F.explode(to)).select(*rows.columns, F.col("_to.r").alias("_range"), F.col("_to.c").alias("_copy"), "_place", tie.alias("_tie"))
+    return both.withColumn("_to", F.explode(to)).select(*rows.columns, F.col("_to.r").alias("_range"), F.col("_to.c").alias("_copy"), "_place", "_tie")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:

@@ -285,15 +285,17 @@ def test_components_of_a_long_path(spark):
 
 
 def test_ranges_give_every_successor(spark):
-    ids = [random.Random(4).randrange(10**6) for _ in range(900)] + [5] * 30
-    rows = spark.createDataFrame([(i,) for i in ids], "k long")
-    dealt = in_ranges(rows, "k", F.lit(0), per_range=50)
+    rng = random.Random(4)
+    keys = [rng.randrange(10**6) for _ in range(900)] + [5000] * 700  # one key fills many ranges
+    rows = sorted((k, hashlib.md5(str(i).encode()).hexdigest()) for i, k in enumerate(keys))
+    dealt = in_ranges(spark.createDataFrame(rows, "k long, t string"), "k", F.col("t"), per_range=50).cache()
     from pyspark.sql.window import Window
 
     order = Window.partitionBy("_range").orderBy("_copy", "_place", "_tie")
-    got = sorted((r["k"], r["n"]) for r in dealt.withColumn("n", F.lead("k").over(order)).where("not _copy").collect())
-    ranked = sorted(ids)
-    assert got == sorted(zip(ranked, ranked[1:] + ranked[:1]))
+    got = sorted((r["k"], r["t"], r["n"]) for r in dealt.withColumn("n", F.lead("t").over(order)).where("not _copy").collect())
+    assert got == [(k, t, after[1]) for (k, t), after in zip(rows, rows[1:] + rows[:1])]
+    assert dealt.groupBy("_range").count().agg(F.max("count")).first()[0] < 200
+    dealt.unpersist()
 
 
 def test_fingerprints_tell_edits_from_strangers(spark):
