@@ -74,6 +74,12 @@ def _documents(spark, sf_dir: str) -> DataFrame:
     return docs.select(c.paths().alias("path"), F.concat_ws(" ", "lang", "source").alias("title"), F.substring(body, 1, 70).alias("summary"), F.size(F.split(body, "\n")).alias("n_sections"))
 
 
+def store_counts(spark, sf_dir: str) -> DataFrame:
+    """Documents, sections, and documents of each kind of path."""
+    docs = _documents(spark, sf_dir)
+    return docs.groupBy(F.substring_index("path", "/", 1).alias("top")).agg(F.count("*").alias("documents"), F.sum("n_sections").alias("sections"), F.max("n_sections").alias("most"))
+
+
 def directory_listing(spark, sf_dir: str) -> DataFrame:
     return contents.directory_lines(_documents(spark, sf_dir)).select("top", "line")
 
@@ -112,7 +118,7 @@ SELECT {columns} FROM matched"""
 _LABEL = c.sql_strip("CASE WHEN coalesce(summary, '') = '' THEN title ELSE summary END")
 _PAD = lambda x: f"(CASE WHEN length({x}) < 30 THEN rpad({x}, 30, ' ') ELSE {x} END)"
 
-QUERIES = {f.__name__: f for f in (grep_literal, grep_accented, grep_pages, grep_scoped, grep_regex, grep_truncated, grep_budget, glob_filter, prefix_listing, directory_listing, toc_lines, toc_compact_lines, toc_budget_mode)}
+QUERIES = {f.__name__: f for f in (grep_literal, grep_accented, grep_pages, grep_scoped, grep_regex, grep_truncated, grep_budget, glob_filter, prefix_listing, store_counts, directory_listing, toc_lines, toc_compact_lines, toc_budget_mode)}
 ORACLE_SQL = {
     "grep_literal": _grep_sql("Clown"),
     "grep_accented": _grep_sql("éeux", whole="lower(text)", columns=f"id, CASE WHEN contains({c.sql_ascii_lower('text')}, 'éeux') THEN 1 ELSE 0 END AS plain"),
@@ -126,6 +132,7 @@ SELECT id, {c.sql_strip("hits[1]")} AS line FROM found WHERE len(hits) > 0""",
 SELECT doc_id, regexp_full_match(path, 'en/.*7') AS stars, regexp_full_match(path, '[ef]./src[0-4]/.*') AS classes, regexp_full_match(path, 'd[^f]/src1[^0-9].*') AS not_class,
   path = 'fr/src3/' OR starts_with(path, 'fr/src3/') AS folder, path = 'es' OR starts_with(path, 'es/') OR path = 'en/src2/2' OR starts_with(path, 'en/src2/2/') AS exact FROM p""",
     "prefix_listing": f"WITH {_DOCS} SELECT count(*) AS documents, CAST(coalesce(sum(n_sections), 0) AS BIGINT) AS sections FROM docs WHERE starts_with({c.sql_ascii_lower('path')}, 'en/src1')",
+    "store_counts": f"WITH {_DOCS} SELECT split_part(path, '/', 1) AS top, count(*) AS documents, CAST(sum(n_sections) AS BIGINT) AS sections, max(n_sections) AS most FROM docs GROUP BY top",
     "directory_listing": f"""WITH {_DOCS}, tops AS (SELECT *, CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) || '/' ELSE '(root)' END AS top, substr(CASE WHEN summary = '' THEN title ELSE summary END, 1, 40) AS label FROM docs)
 SELECT top, {_PAD("top")} || count(*) || ' docs · ' || sum(n_sections) || ' sections · ' || array_to_string(list(label ORDER BY path)[1:3], ', ') || CASE WHEN count(*) > 3 THEN ', +' || (count(*) - 3) || ' more' ELSE '' END AS line FROM tops GROUP BY top""",
     "toc_lines": f"WITH {_DOCS}, l AS (SELECT path, n_sections, {_LABEL} AS label FROM docs) SELECT path, {_PAD('path')} || '  ' || CASE WHEN length(label) > 60 THEN rtrim(substr(label, 1, 59), chr(32) || chr(10) || chr(9)) || '…' ELSE label END || '  (' || n_sections || ')' AS line FROM l",
