@@ -32,7 +32,7 @@ DISGUISED = 0.1
 #: The lengths of landmarks.
 PIECES = (4, 6, 8)
 #: Words whose scores a worker remembers.
-MOST_WORDS = 800_000
+MOST_WORDS = 700_000
 _APART = re.compile(r"[\W_]+")
 
 
@@ -81,7 +81,6 @@ class Model:
     curve: np.ndarray
     prior: float
     known: dict[str, int] = field(default_factory=dict)
-    forms: dict[str, float] = field(default_factory=dict)
     scores: np.ndarray = field(default_factory=lambda: np.zeros(1024, dtype=np.float32))
     ends: np.ndarray = field(default_factory=lambda: np.zeros(1024, dtype=bool))
     single: np.ndarray = field(default_factory=lambda: np.zeros(1024, dtype=bool))
@@ -96,9 +95,9 @@ class Model:
         """Score new words and remember them."""
         first = len(self.known)
         forms = [letters(w) for w in words]
-        new = list({f for f in forms if f not in self.forms})
-        self.forms.update(zip(new, (word_features(new, self.landmarks) @ self.weights).tolist()))
-        values = [self.forms[f] for f in forms]
+        new = list(set(forms))  # many words differ only in the signs around them
+        value = dict(zip(new, (word_features(new, self.landmarks) @ self.weights).tolist()))
+        values = [value[f] for f in forms]
         if first + len(words) > len(self.scores):
             size = 2 * (first + len(words))
             self.scores, self.ends, self.single = (np.concatenate([a[:first], np.zeros(size - first, a.dtype)]) for a in (self.scores, self.ends, self.single))
@@ -118,7 +117,6 @@ class Model:
         seen = set(flat)
         if len(self.known) + len(seen) > MOST_WORDS:
             self.known.clear()
-            self.forms.clear()
         if new := [w for w in seen if w not in self.known]:
             self.learn(new)
         ids = np.fromiter(map(self.known.__getitem__, flat), dtype=np.int64, count=len(flat))
@@ -307,7 +305,8 @@ def disguised(text: str, model: Model) -> str:
 
     def hide(m: re.Match) -> str:
         word = m[0]
-        if len(word) < LENGTH or model.forms.get(letters(word.lower()), 0.0) < 0.5:
+        at = model.known.get(word.lower())
+        if len(word) < LENGTH or at is None or model.scores[at] < 0.5:
             return word
         return word[: len(word) // 2] + chr(97 + sum(map(ord, word)) % 26) + word[len(word) // 2 :]
 
