@@ -117,7 +117,7 @@ class WordCodec:
         if len(self.known) > self.most:
             self.known.clear()
         known = self.known
-        if new := list({w for parts in split for w in parts if w not in known and isinstance(w, str)}):
+        if new := [w for w in set().union(*map(set, split)) if w not in known and isinstance(w, str)]:
             self.learn(new)
         look = known.__getitem__
         return [list(chain.from_iterable([known[w] if isinstance(w, str) else (w,) for w in parts] if i in marked else map(look, parts))) for i, parts in enumerate(split)]
