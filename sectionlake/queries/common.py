@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sectionlake.functions import text
-from sectionlake.session import table
+from sectionlake.session import spread, table
 
 
 def paths() -> F.Column:
@@ -15,7 +15,7 @@ def paths() -> F.Column:
 
 def document_sections(spark, sf_dir: str) -> DataFrame:
     """documents as sections: one for each document, with path lang/source/doc_id and heading lang/source."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     body = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         F.concat(paths(), F.lit("#0")).alias("id"), F.col("doc_id"), paths().alias("path"), F.lit(0).alias("ordinal"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sectionlake.functions import text
 from sectionlake.operators import lexical
 from sectionlake.queries import common as c
-from sectionlake.session import ship_package, table
+from sectionlake.session import ship_package, spread, table
 
 #: The queries' words: frequent in the driver's documents.
 PHRASE, WORDS, RARE = "of the", "the and ing", "idiot clown stupid"
@@ -19,12 +19,12 @@ def _sections(spark, sf_dir):
 
 
 def normalize_text(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", F.sha2(text.normalise(F.coalesce("text", F.lit(""))), 256).alias("normal_sha256"))
 
 
 def tokenize_counts(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     tokens = text.query_tokens(F.coalesce(F.col("text"), F.lit("")))
     return docs.select("doc_id", F.size(tokens).alias("n_tokens"), F.sha2(F.array_join(tokens, " "), 256).alias("tokens_sha256"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sectionlake.plans import ingest
 from sectionlake.queries import common as c
-from sectionlake.session import ship_package, table
+from sectionlake.session import ship_package, spread, table
 from sectionlake.sources import files
 from sectionlake.sources.sections import Limits
 
@@ -43,7 +43,7 @@ pump --restart
 
 def word_split_sections(spark, sf_dir: str) -> DataFrame:
     """documents cut at word borders into sections of at most 400 characters."""
-    docs = table(spark, sf_dir, "documents").select(c.paths().alias("path"), "text")
+    docs = spread(table(spark, sf_dir, "documents")).select(c.paths().alias("path"), "text")
     parsed = files.parse_table(docs, Limits(max_chars=400))
     return ingest.exploded_sections(parsed).select("id", "heading_path", "level", "kind", "char_len", "hash", "prev_id", "next_id")
 

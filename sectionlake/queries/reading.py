@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sectionlake.functions import text
 from sectionlake.operators import reading
 from sectionlake.queries import common as c
-from sectionlake.session import table
+from sectionlake.session import spread, table
 
 
 def adjacency(spark, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def export_chunks(spark, sf_dir: str) -> DataFrame:
 
 
 def offline_summary(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     body = text.summary_body(F.coalesce("text", F.lit("")))
     return docs.select("doc_id", text.summary_line(F.concat_ws(" ", "lang", "source"), F.array(body)).alias("summary"))
 

@@ -28,6 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, bytes_each: int = 8 << 20) -> DataFrame:
+    """A small table of fewer files than cores dealt out to all cores; a larger one as its files lie, without a shuffle.
+
+    A Parquet file with one row group is one task otherwise, whatever is computed for its rows.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * bytes_each and len(df.inputFiles()) < cores else df
+
+
 _shipped: set[str] = set()
 
 
