@@ -16,8 +16,8 @@ def reject_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines whose template recurs across them; n_chars follows the text."""
-    out = line_templates.drop_recurring_lines(docs)
+    """All documents, without the lines whose template recurs across them, near copies counted once; n_chars follows the text."""
+    out = line_templates.drop_recurring_lines(docs, copies_once=True)
     n_chars = F.when(F.col("changed"), F.length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
     return out.select(*[n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sectionlake.llm.common import text_of, written
+from sectionlake.llm.common import components, text_of, written
 
 WILD = "<*>"
+#: Near copies: sketches of so many values over shingles of so many words, compared where a band of them agrees, and alike from this share on.
+BINS, BAND, SHINGLE, ALIKE = 64, 4, 5, 0.75
 
 
 _WHITE = " \\t\\r\\f\\x0B"
@@ -41,7 +43,33 @@ def _template_lines(docs: DataFrame, key: str, text: str, leading: int, least_to
     return rows.select("_key", "_text", "_pos", "_h", "_prev", "_next", leaf.alias("_leaf"), "_line")
 
 
-def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_docs: int = 3, leading: int = 3, least_tokens: int = 4, fixed: float = 0.8, diverse: float = 0.34) -> DataFrame:
+def _near_copies(docs: DataFrame, texts: DataFrame, text: str) -> DataFrame:
+    """(_text, _class) of those of the `texts` (their hashes) that have near copies among them.
+
+    A text's sketch has, for each of BINS bounds, the smallest hash of a shingle at or above it, so
+    that two sketches agree in about as many places as the shingle sets are alike (Jaccard). A text is
+    compared with the first one of each band it shares, and classes are components of such links.
+    """
+    rows = docs.select(F.xxhash64(text_of(text)).alias("_text"), F.split(text_of(text), "\\s+").alias("_words")).join(texts, "_text", "left_semi")
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_words") - (SHINGLE - 1), F.lit(1)))
+    rows = rows.select("_text", F.sort_array(F.transform(starts, lambda i: F.xxhash64(F.slice("_words", i, SHINGLE)))).alias("_all"))
+    shift = 64 - (BINS.bit_length() - 1)
+    first = F.filter("_all", lambda h, i: (i == 0) | (F.shiftright(h, shift) != F.shiftright(F.get("_all", i - 1), shift)))
+    rows = rows.select("_text", first.alias("_first")).dropDuplicates(["_text"])
+    bounds = F.array(*[F.lit((j - BINS // 2) << shift).cast("long") for j in range(BINS)])
+    sketch = F.transform(bounds, lambda b: F.coalesce(F.array_min(F.filter("_first", lambda h: h >= b)), F.get("_first", F.lit(0))))
+    sketches = written(rows.select("_text", sketch.alias("_sketch")), "sketches")
+    bands = F.transform(F.sequence(F.lit(1), F.lit(BINS), F.lit(BAND)), lambda i: F.xxhash64(i, F.slice("_sketch", i, BAND)))
+    banded = sketches.select("_text", F.explode(bands).alias("_band"))
+    shared = banded.groupBy("_band").agg(F.min("_text").alias("_other"), F.max("_text").alias("_last")).where("_other <> _last").select("_band", "_other")
+    pairs = banded.join(shared, "_band").where("_text <> _other").select("_text", "_other").distinct()
+    pairs = pairs.join(sketches, "_text").join(sketches.select(F.col("_text").alias("_other"), F.col("_sketch").alias("_theirs")), "_other")
+    agree = F.size(F.filter(F.zip_with("_sketch", "_theirs", lambda a, b: a == b), lambda x: x))
+    links = pairs.where(agree >= ALIKE * BINS).select("_text", "_other")
+    return components(links, "_text", "_other").select(F.col("node").alias("_text"), F.col("component").alias("_class"))
+
+
+def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_docs: int = 3, leading: int = 3, least_tokens: int = 4, fixed: float = 0.8, diverse: float = 0.34, copies_once: bool = False) -> DataFrame:
     """The places (`key`, pos) of lines whose template recurs across documents.
 
     The tree has a level for the number of tokens and one for each of the first `leading` tokens;
@@ -54,6 +82,10 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     of one document has the neighbours of that document, and is left to the dedup of documents. So is
     a block of several recurring lines that always stand together: each is the other's neighbour.
 
+    With `copies_once` neighbours don't matter, so a line may always open or close its texts, stand
+    between blank lines or in a block: a template recurs if at least `least_docs` different texts
+    have it of which no two are near copies (see `_near_copies`), each class of those counted once.
+
     Lines are counted by hash first, so a line's many copies are one row from then on; leaves with
     too few documents never meet their texts again. Nothing is kept for lines under `least_tokens`.
     """
@@ -76,6 +108,14 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     def distinct(column: str) -> DataFrame:
         return places.groupBy("_template", column).agg(F.count("*").alias("n")).groupBy("_template").agg(F.count("*").alias(f"n{column}"))
 
+    if copies_once:
+        held = written(places.select("_template", "_text").distinct(), "held")
+        often = held.groupBy("_template").agg(F.count("*").alias("n_text")).where(F.col("n_text") >= least_docs).select("_template")
+        held = written(held.join(often, "_template", "left_semi"), "held")
+        told = held.join(_near_copies(docs, held.select("_text").distinct(), text), "_text", "left")
+        told = told.select("_template", F.coalesce("_class", "_text").alias("_class")).distinct()
+        recur = told.groupBy("_template").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select("_template")
+        return places.join(recur, "_template", "left_semi").select(F.col("_key").alias(key), F.col("_pos").alias("pos")).distinct()
     counts = distinct("_text").join(distinct("_prev"), "_template").join(distinct("_next"), "_template")
     least = F.greatest(F.lit(least_docs), F.col("n_text") * diverse)
     recur = counts.where((F.col("n_text") >= least_docs) & (F.col("n_prev") >= least) & (F.col("n_next") >= least)).select("_template")
