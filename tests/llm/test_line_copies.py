@@ -23,3 +23,11 @@ def test_lines_at_edges_and_between_blank_lines(spark):
     own = {i: [fresh(rng), fresh(rng), fresh(rng)] for i in range(12)}
     texts = {i: "\n".join([a, "", PASSAGE, "", b, c, "Licensed under the terms of the common book"]) for i, (a, b, c) in own.items()}
     assert stage(spark, texts) == {i: "\n".join([a, "", "", b, c]) for i, (a, b, c) in own.items()}
+
+
+def test_blocks_of_several_lines(spark):
+    rng = random.Random(6)
+    block = [PASSAGE, fresh(rng), fresh(rng)]
+    own = {i: [fresh(rng, 30), fresh(rng, 30), fresh(rng, 30)] for i in range(12)}
+    texts = {i: "\n".join([a, *block, b, c]) for i, (a, b, c) in own.items()}
+    assert stage(spark, texts) == {i: "\n".join(lines) for i, lines in own.items()}
