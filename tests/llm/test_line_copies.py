@@ -31,3 +31,12 @@ def test_blocks_of_several_lines(spark):
     own = {i: [fresh(rng, 30), fresh(rng, 30), fresh(rng, 30)] for i in range(12)}
     texts = {i: "\n".join([a, *block, b, c]) for i, (a, b, c) in own.items()}
     assert stage(spark, texts) == {i: "\n".join(lines) for i, lines in own.items()}
+
+
+def test_near_copies_neither_save_a_passage_nor_lose_their_own_lines(spark):
+    rng = random.Random(7)
+    base = [fresh(rng, 60) for _ in range(6)]
+    copies = {i: [*base[:5], f"{base[5]} {fresh(rng, 1)}"] for i in range(60)}
+    others = {100 + i: [fresh(rng, 30) for _ in range(6)] for i in range(10)}
+    texts = {i: "\n".join([*lines[:3], PASSAGE, *lines[3:]]) for i, lines in (copies | others).items()}
+    assert stage(spark, texts) == {i: "\n".join(lines) for i, lines in (copies | others).items()}
