@@ -54,6 +54,27 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+#: A key with more than this share of all rows (1 in so many) is dealt over several tasks, so at most so many keys are.
+MOST_HOT = 4000
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, on: str, size: str, total: int, by: list[str], how: str = "inner") -> DataFrame:
+    """`rows` joined with `groups` on a key, where no task gets all rows of a key that many have.
+
+    `groups` has a row for each key, with the number of its rows in the column `size`; `total` is at
+    least their sum. Keys with more than total / MOST_HOT rows, which are MOST_HOT at most, are
+    broadcast with the number of parts they are dealt to: their rows go to a part by the hash of the
+    columns `by`, and their group goes to each part. All others have one part. Nothing is left out.
+    """
+    share = max(16, total // MOST_HOT)
+    parts = F.when(F.col(size) > share, F.ceil(F.col(size) / share)).otherwise(1).cast("int")
+    hot = groups.where(F.col(size) > share).select(F.col(on).alias("_hot"), parts.alias("_parts"))
+    dealt = rows.join(F.broadcast(hot), F.col(on) == F.col("_hot"), "left")
+    dealt = dealt.select(*rows.columns, F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1))).cast("int").alias("_part"))
+    many = groups.select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
+    return dealt.join(many, [on, "_part"], how).drop("_part")
+
+
 def in_ranges(rows: DataFrame, key: str, tie: Column, per_range: int = 500, most_ranges: int = 65_536) -> DataFrame:
     """Rows dealt to ranges of a whole-number key, so that each can be ordered by itself and see its successor.
 
@@ -97,7 +118,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
 
     Alternating star contractions: in each round every node's larger neighbours are hung onto its
     smallest one, then its smaller neighbours are. Each round is two aggregations and two joins over
-    the links that are left; its result is written, and the rounds end when a round changes nothing.
+    the links that are left, where a node with many neighbours is dealt over several tasks; its result is written, and the rounds end when a round changes nothing.
     Nothing is collected but a count and a checksum of the links. Nodes without links don't appear.
     """
     links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
@@ -108,10 +129,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
             return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select("v", "v").distinct())
         seen = now
         both = links.union(links.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = spread_join(both, least, "u", "n", 2 * state["n"], ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = written(large.distinct(), "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, least, "u", "n", 2 * state["n"], ["v"])
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m")))
         links = written(small.where("u <> v").distinct(), "links")
     raise RuntimeError("the links didn't settle")
