@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -15,9 +16,9 @@ from sectionlake.llm.token_counts import slices
 from sectionlake.session import ship_package
 
 #: Subsequences of so many letters; a letter between them, in either string, costs the factor GAP.
-LENGTH, GAP = 4, 0.6
-#: The kernel of two words is this power of the subsequence kernel, so that near misses count for little.
-POWER = 3
+LENGTH, GAP = 4, 0.8
+#: The kernel of two words is this power of the normalised subsequence kernel, so that words in common letters alone count for little.
+POWER = 4
 #: Longer words are scored by windows of so many letters that overlap by half.
 WINDOW = 24
 #: A sentence has at most so many words; a longer one is several.
@@ -28,11 +29,15 @@ THRESHOLD = 0.3
 #: A landmark stands in toxic documents at so many times the rate of clean ones.
 LIFT = 4.0
 #: So much of the toxic sample counts with a letter put into its toxic words, when scores are calibrated.
-DISGUISED = 0.1
+DISGUISED = 0.3
 #: The lengths of landmarks.
 PIECES = (4, 6, 8)
+#: The longest word that may be a landmark as a whole.
+LONGEST = 15
 #: Words whose scores a worker remembers.
 MOST_WORDS = 700_000
+#: A word adds at most so much to its sentence, so that a word as the labels have it says little more than a disguised one.
+MOST_VALUE = 2.0
 _APART = re.compile(r"[\W_]+")
 
 
@@ -48,18 +53,26 @@ def windows(word: str) -> list[str]:
 
 
 def subsequence_kernel(codes: np.ndarray, landmark: np.ndarray) -> np.ndarray:
-    """The gap-weighted subsequence kernel of many words (rows of letter codes, padded by 0) with one string.
+    """The gap-weighted subsequence kernel of many words (rows of letter codes, padded by 0) with one string."""
+    return _kernel(codes[:, :, None] == landmark[None, None, :])
+
+
+def own_kernel(codes: np.ndarray) -> np.ndarray:
+    """The kernel of each word with itself."""
+    return _kernel((codes[:, :, None] == codes[:, None, :]) & (codes != 0)[:, :, None])
+
+
+def _kernel(same: np.ndarray) -> np.ndarray:
+    """The kernel of pairs of strings from where their letters are equal: (pair, place in the first, place in the second).
 
     Common subsequences of LENGTH letters count GAP to the number of letters between theirs, in both
-    strings together. Words step through the recursion together, a letter of theirs at a time.
+    strings together. Pairs step through the recursion together, a letter of the first at a time.
     """
-    n, width = codes.shape
-    m = len(landmark)
+    n, width, m = same.shape
     decay = np.triu(GAP ** np.maximum(0, np.arange(m)[None, :] - np.arange(m)[:, None] - 0.0)).astype(np.float32)
     later = np.zeros((m, m), dtype=np.float32)  # from the place of a match to those after it
     later[:, 1:] = decay[:, :-1]
-    same = codes[:, :, None] == landmark[None, None, :]
-    # run[i][:, k]: subsequences of i letters so far, weighed up to the place before k in the landmark and the present one in the word.
+    # run[i][:, k]: subsequences of i letters so far, weighed up to the place before k in the second string and the present one in the first.
     run = [np.ones((n, m), dtype=np.float32)] + [np.zeros((n, m), dtype=np.float32) for _ in range(LENGTH - 1)]
     total = np.zeros(n, dtype=np.float32)
     for j in range(width):
@@ -102,7 +115,7 @@ class Model:
             size = 2 * (first + len(words))
             self.scores, self.ends, self.single = (np.concatenate([a[:first], np.zeros(size - first, a.dtype)]) for a in (self.scores, self.ends, self.single))
         span = slice(first, first + len(words))
-        self.scores[span] = np.clip(values, -4, 4)
+        self.scores[span] = np.clip(values, -4, MOST_VALUE)
         self.ends[span] = [w[-1] in ".!?" for w in words]
         self.single[span] = [len(w) == 1 and w.isalpha() for w in words]
         self.known.update(zip(words, range(first, first + len(words))))
@@ -144,11 +157,15 @@ class Model:
         if one.sum() < LENGTH:
             return
         edge = np.flatnonzero(np.diff(np.concatenate([[0], one.astype(np.int8), [0]])))
+        at, spelled = [], []
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
             cuts = [a, *(a + 1 + np.flatnonzero(head[a + 1 : b])).tolist(), b]
             for lo, hi in zip(cuts, cuts[1:]):
                 if hi - lo >= LENGTH:
-                    values[lo] += float(np.clip(word_features([letters("".join(flat[lo:hi]))], self.landmarks) @ self.weights, -4, 4)[0])
+                    at.append(lo)
+                    spelled.append(letters("".join(flat[lo:hi])))
+        if spelled:
+            values[at] += np.clip(word_features(spelled, self.landmarks) @ self.weights, -4, MOST_VALUE)
 
     def probability(self, texts: list[str]) -> np.ndarray:
         """The calibrated probability of each whole text."""
@@ -168,9 +185,13 @@ def _codes(words: list[str], width: int) -> np.ndarray:
 
 
 def word_features(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """The word kernel with each landmark; words (letters only) beyond WINDOW take the most of their windows."""
+    """The word kernel with each landmark: the subsequence kernel, normalised by both strings' own, to the power POWER.
+
+    Words (letters only) beyond WINDOW take the most of their windows.
+    """
     out = np.zeros((len(words), len(landmarks)), dtype=np.float32)
     marks = [_codes([x], len(x))[0] for x in landmarks]
+    norms = [float(own_kernel(m[None, :])[0]) ** 0.5 for m in marks]
     parts, owner = [], []
     for i, w in enumerate(words):
         if len(w) >= LENGTH:
@@ -188,10 +209,15 @@ def word_features(words: list[str], landmarks: list[str]) -> np.ndarray:
         of = np.array([owner[i] for i in at.tolist()])
         near = np.minimum(np.searchsorted(alphabet, codes), max(0, len(alphabet) - 1))
         letter = np.where(alphabet[near] == codes, near, len(alphabet)).T
+        norm = np.zeros(len(at), dtype=np.float32)  # of the words that some landmark needs it for
         for k, mark in enumerate(marks):
             able = np.flatnonzero(_longest_common(places[k][letter], len(mark)) >= LENGTH)
-            if len(able):
-                np.maximum.at(out[:, k], of[able], subsequence_kernel(codes[able], mark))
+            if not len(able):
+                continue
+            new = able[norm[able] == 0]
+            for some in np.array_split(new, 1 + len(new) // 1024):
+                norm[some] = np.sqrt(own_kernel(codes[some]))
+            np.maximum.at(out[:, k], of[able], subsequence_kernel(codes[able], mark) / (norm[able] * norms[k]))
     return np.power(out, POWER, out=out)
 
 
@@ -220,7 +246,7 @@ def sentences(text: str) -> list[list[str]]:
 
 
 def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int) -> list[str]:
-    """Pieces of words (of the lengths PIECES) that far more toxic documents hold than clean ones.
+    """Words and pieces of them (of the lengths PIECES) that far more toxic documents hold than clean ones.
 
     A piece must stand in 2 % of the toxic documents (3 at least), at LIFT times the clean rate. The
     next piece is the one with the largest sum, over the toxic documents that hold it, of 1/2 to the
@@ -229,7 +255,8 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int) ->
     """
 
     def pieces(words: set[str]) -> set[str]:
-        return {w[i : i + n] for w in words for n in PIECES for i in range(len(w) - n + 1)}
+        whole = {w for w in words if LENGTH < len(w) <= LONGEST}
+        return whole | {w[i : i + n] for w in words for n in PIECES for i in range(len(w) - n + 1)}
 
     least = max(3, len(toxic) // 50)
     # Counts by hash first, so that only pieces that may be frequent are ever kept.
@@ -301,14 +328,19 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
 
 
 def disguised(text: str, model: Model) -> str:
-    """A text whose toxic words have a letter put into their middle, the same one for a word at all times."""
+    """A text whose toxic words have an unrelated letter put into them, at a place that the word and its number in the text choose."""
+    seen = 0
 
     def hide(m: re.Match) -> str:
+        nonlocal seen
         word = m[0]
         at = model.known.get(word.lower())
         if len(word) < LENGTH or at is None or model.scores[at] < 0.5:
             return word
-        return word[: len(word) // 2] + chr(97 + sum(map(ord, word)) % 26) + word[len(word) // 2 :]
+        seen += 1
+        chance = zlib.crc32(f"{word} {seen}".encode())
+        place = 1 + chance % (len(word) - 1)
+        return word[:place] + chr(97 + (chance >> 16) % 26) + word[place:]
 
     model.evidence([text])
     return re.sub(r"\S+", hide, text)
@@ -319,7 +351,8 @@ def fit(toxic: list[str], clean: list[str], prior: float, most_landmarks: int =
 
     All sentences of clean documents are clean. Of a toxic document, those that hold a landmark are
     toxic in the first round; later those with a positive value and the one of the highest value. The
-    calibration sees every toxic document once more with disguised words.
+    last round and the calibration see every toxic document once more with disguised words, so that
+    the machine's margin keeps such words apart from clean ones.
     """
     if not toxic or not clean:
         return Model([], np.zeros(0), 0.0, np.zeros(4), prior)
@@ -327,20 +360,18 @@ def fit(toxic: list[str], clean: list[str], prior: float, most_landmarks: int =
     landmarks = choose_landmarks(*words, most_landmarks)
     if not landmarks:
         return Model([], np.zeros(0), 0.0, np.zeros(4), prior)
-    vocabulary = sorted(set().union(*words[0], *words[1]))
-    index = {w: i for i, w in enumerate(vocabulary)}
-    raw = word_features(vocabulary, landmarks)
     gram = word_features(landmarks, landmarks).astype(np.float64)
-    scale = np.sqrt(np.maximum(np.diag(gram), 1e-12))
-    values, axes = np.linalg.eigh((gram + gram.T) / 2 / scale[:, None] / scale[None, :])
-    root = axes @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ axes.T
-    project = (1 / scale)[:, None] * root
+    values, axes = np.linalg.eigh((gram + gram.T) / 2)
+    project = axes @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ axes.T
+    known: dict[str, np.ndarray] = {}
 
     def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         rows, owner = [], []
+        new = sorted({letters(w) for t in texts for w in t.lower().split()} - known.keys())
+        known.update(zip(new, word_features(new, landmarks)))
         for d, t in enumerate(texts):
             for s in sentences(t):
-                rows.append(raw[[index[letters(w)] for w in s]].sum(axis=0))
+                rows.append(np.sum([known[letters(w)] for w in s], axis=0))
                 owner.append(d)
         return np.array(rows).reshape(-1, len(landmarks)) @ project, np.array(owner, dtype=np.int64)
 
@@ -352,9 +383,16 @@ def fit(toxic: list[str], clean: list[str], prior: float, most_landmarks: int =
         xc = xc[np.concatenate([size[: most_sentences // 2], rest[:: max(1, len(rest) * 2 // most_sentences)]])]
     positive = np.abs(xt).max(axis=1) >= 0.5
     w, b = np.zeros(len(landmarks)), 0.0
-    for _ in range(rounds):
-        x = np.vstack([xt[positive], xc])
-        y = np.concatenate([np.ones(int(positive.sum())), -np.ones(len(xc))])
+    hidden: list[str] = []
+    xh = np.zeros((0, len(landmarks)))
+    for n in range(rounds + 1):
+        if n == rounds:  # once more with disguised words, in the sentences that are toxic
+            model = Model(landmarks, project @ w, b, np.zeros(4), prior)
+            hidden = [disguised(t, model) for t in toxic]
+            xh = features(hidden)[0]
+            xh = xh[positive] if len(xh) == len(positive) else xh[:0]
+        x = np.vstack([xt[positive], xh, xc])
+        y = np.concatenate([np.ones(len(x) - len(xc)), -np.ones(len(xc))])
         cost = np.where(y > 0, len(y) / max(1, 2 * (y > 0).sum()), len(y) / max(1, 2 * (y < 0).sum())) / len(y) * 100
         w, b = squared_hinge(x, y, cost)
         value = xt @ w + b
@@ -362,7 +400,6 @@ def fit(toxic: list[str], clean: list[str], prior: float, most_landmarks: int =
         np.maximum.at(best, ot, value)
         positive = (value > 0) | (value >= best[ot])
     model = Model(landmarks, project @ w, b, np.zeros(4), prior)
-    hidden = [disguised(t, model) for t in toxic]
     told = np.vstack([model.evidence(toxic), model.evidence(hidden), model.evidence(clean)])
     y = np.concatenate([np.ones(2 * len(toxic)), np.zeros(len(clean))])
     share = np.concatenate([np.full(len(toxic), 1 - DISGUISED), np.full(len(toxic), DISGUISED)]) * prior / len(toxic)

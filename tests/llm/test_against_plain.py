@@ -273,7 +273,8 @@ def test_string_kernel_equals_its_definition():
 
     for word in ("^idiot", "^xidxiot", "^stupid", "^idi", "^toidi"):
         got = toxicity.word_features([word], ["^idiot", "stupid"])[0]
-        want = [slow(word, mark, toxicity.LENGTH) ** toxicity.POWER for mark in ("^idiot", "stupid")]
+        own = slow(word, word, toxicity.LENGTH) or 1.0
+        want = [(slow(word, mark, toxicity.LENGTH) / (own * slow(mark, mark, toxicity.LENGTH)) ** 0.5) ** toxicity.POWER for mark in ("^idiot", "stupid")]
         assert np.allclose(got, want, rtol=1e-4), word
 
 
@@ -302,3 +303,25 @@ def test_fingerprints_tell_edits_from_strangers(spark):
     out = fingerprints.fingerprints_with_edits(spark.read.parquet(f"{MIDDLE}/documents.parquet")).select("near_edited", "near_next").toPandas()
     assert out.near_edited.mean() > 0.5 and out.near_next.mean() < 0.05
     assert (out.near_edited > out.near_next).mean() > 0.97
+
+
+def test_unrelated_inserted_letters_are_caught():
+    """Insults with a random letter at a random place, one or two in 60 words; clean texts are left alone."""
+    rng = random.Random(11)
+    insults = ["wretchard", "mudskull", "stinkpot", "graveler", "bonehead"]
+    words = ["".join(rng.choice("aeioulnrstmd") for _ in range(rng.randrange(3, 10))) for _ in range(3000)]
+
+    def text(n: int, hide: bool) -> str:
+        out = [rng.choice(words) for _ in range(60)]
+        for at in rng.sample(range(60), n):
+            w = rng.choice(insults)
+            i = rng.randrange(1, len(w))
+            out[at] = w[:i] + rng.choice("abcdefghijklmnopqrstuvwxyz") + w[i:] if hide else w
+        return " ".join(out)
+
+    model = toxicity.fit([text(rng.randrange(1, 5), False) for _ in range(150)], [text(0, False) for _ in range(300)], 0.15)
+    caught = lambda texts: float((model.probability(texts) >= toxicity.THRESHOLD).mean())
+    for n in (1, 2, 4):
+        assert caught([text(n, False) for _ in range(100)]) >= 0.95
+        assert caught([text(n, True) for _ in range(200)]) >= 0.9
+    assert caught([text(0, False) for _ in range(200)]) <= 0.02
