@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _scratch: dict[str, str] = {}
+#: The tables that each unfinished `settled` of a thread has written so far.
+_scopes = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,9 +50,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: lineage ends there and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    if stack := getattr(_scopes, "stack", None):
+        stack[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The table that `build` makes, written; the tables that making it wrote are deleted then."""
+    stack = _scopes.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        made = build()
+        own = stack.pop()
+        stack.append([])
+        out = written(made, name)
+    except BaseException:
+        stack.pop()
+        raise
+    kept = stack.pop()
+    if stack:
+        stack[-1] += kept
+    for path in own:
+        drop_table(spark, path)
+    return out
+
+
 def text_of(column: str = "text") -> Column:
     """A text column as a string without nulls (null: empty)."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -58,7 +84,7 @@ def text_of(column: str = "text") -> Column:
 MOST_HOT = 4000
 
 
-def spread_join(rows: DataFrame, groups: DataFrame, on: str, size: str, total: int, by: list[str], how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, groups: DataFrame, on: str | list[str], size: str, total: int, by: list[str], how: str = "inner") -> DataFrame:
     """`rows` joined with `groups` on a key, where no task gets all rows of a key that many have.
 
     `groups` has a row for each key, with the number of its rows in the column `size`; `total` is at
@@ -66,13 +92,14 @@ def spread_join(rows: DataFrame, groups: DataFrame, on: str, size: str, total: i
     broadcast with the number of parts they are dealt to: their rows go to a part by the hash of the
     columns `by`, and their group goes to each part. All others have one part. Nothing is left out.
     """
+    on = [on] if isinstance(on, str) else on
     share = max(16, total // MOST_HOT)
     parts = F.when(F.col(size) > share, F.ceil(F.col(size) / share)).otherwise(1).cast("int")
-    hot = groups.where(F.col(size) > share).select(F.col(on).alias("_hot"), parts.alias("_parts"))
-    dealt = rows.join(F.broadcast(hot), F.col(on) == F.col("_hot"), "left")
+    hot = groups.where(F.col(size) > share).select(*on, parts.alias("_parts"))
+    dealt = rows.join(F.broadcast(hot), on, "left")
     dealt = dealt.select(*rows.columns, F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1))).cast("int").alias("_part"))
     many = groups.select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
-    return dealt.join(many, [on, "_part"], how).drop("_part")
+    return dealt.join(many, [*on, "_part"], how).drop("_part")
 
 
 def in_ranges(rows: DataFrame, key: str, tie: Column, per_range: int = 500, most_ranges: int = 65_536) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sectionlake.llm.common import components, text_of, written
+from sectionlake.llm.common import components, settled, spread_join, text_of, written
 
 WILD = "<*>"
 #: Near copies: sketches of so many values over shingles of so many words, compared where a band of them agrees, and alike from this share on.
@@ -13,6 +13,7 @@ BINS, BAND, SHINGLE, ALIKE = 64, 4, 5, 0.75
 
 
 _WHITE = " \\t\\r\\f\\x0B"
+_GAP = f"[{_WHITE}\\n]+"
 
 
 def _masked(line: Column) -> Column:
@@ -29,28 +30,25 @@ def _tokens(masked: Column) -> Column:
     return F.when(odd, F.filter(F.split(masked, f"[{_WHITE}]+"), lambda t: t != "")).otherwise(F.split(masked, " "))
 
 
-def _template_lines(docs: DataFrame, key: str, text: str, leading: int, least_tokens: int) -> DataFrame:
-    """A row for each line that could be dropped: its place, its leaf, its masked text and neighbours."""
+def _template_lines(docs: DataFrame, key: str, text: str, leading: int) -> DataFrame:
+    """A row for each line with a token: its place, its leaf, its hash and its masked text."""
     plain = F.split(text_of(text), "\n")
     masked = F.when(text_of(text).rlike("[0-9]"), F.transform(plain, _masked)).otherwise(plain)
-    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text_of(text)).alias("_text"), masked.alias("_lines"))
-    rows = rows.select("_key", "_text", "_lines", F.transform("_lines", lambda x: F.xxhash64(x)).alias("_hashes"))
-    rows = rows.select("_key", "_text", "_hashes", F.posexplode("_lines").alias("_pos", "_line"))
-    near = lambda step: F.coalesce(F.get("_hashes", F.col("_pos") + step), F.lit(0).cast("long"))
-    rows = rows.select("_key", "_text", "_pos", "_line", F.get("_hashes", F.col("_pos")).alias("_h"), near(-1).alias("_prev"), near(1).alias("_next"), _tokens(F.col("_line")).alias("_tokens"))
-    rows = rows.where(F.size("_tokens") >= least_tokens)
+    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text_of(text)).alias("_text"), F.posexplode(masked).alias("_pos", "_line"))
+    rows = rows.select("_key", "_text", "_pos", "_line", F.xxhash64("_line").alias("_h"), _tokens(F.col("_line")).alias("_tokens"))
     leaf = F.xxhash64(F.size("_tokens"), F.slice("_tokens", 1, leading))
-    return rows.select("_key", "_text", "_pos", "_h", "_prev", "_next", leaf.alias("_leaf"), "_line")
+    return rows.where(F.size("_tokens") > 0).select("_key", "_text", "_pos", "_h", leaf.alias("_leaf"), "_line")
 
 
-def _near_copies(docs: DataFrame, texts: DataFrame, text: str) -> DataFrame:
-    """(_text, _class) of those of the `texts` (their hashes) that have near copies among them.
+def _near_copies(docs: DataFrame, key: str, text: str, texts: DataFrame) -> DataFrame:
+    """(_text, _class) of those of the `texts` (their hashes, and a _key of each) that have near copies among them.
 
     A text's sketch has, for each of BINS bounds, the smallest hash of a shingle at or above it, so
     that two sketches agree in about as many places as the shingle sets are alike (Jaccard). A text is
     compared with the first one of each band it shares, and classes are components of such links.
     """
-    rows = docs.select(F.xxhash64(text_of(text)).alias("_text"), F.split(text_of(text), "\\s+").alias("_words")).join(texts, "_text", "left_semi")
+    own = docs.select(F.col(key).alias("_key"), F.xxhash64(text_of(text)).alias("_text"), text_of(text).alias("_body"))
+    rows = own.join(texts.select("_key", "_text"), ["_key", "_text"], "left_semi").select("_text", F.split("_body", _GAP).alias("_words"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("_words") - (SHINGLE - 1), F.lit(1)))
     rows = rows.select("_text", F.sort_array(F.transform(starts, lambda i: F.xxhash64(F.slice("_words", i, SHINGLE)))).alias("_all"))
     shift = 64 - (BINS.bit_length() - 1)
@@ -61,65 +59,55 @@ def _near_copies(docs: DataFrame, texts: DataFrame, text: str) -> DataFrame:
     sketches = written(rows.select("_text", sketch.alias("_sketch")), "sketches")
     bands = F.transform(F.sequence(F.lit(1), F.lit(BINS), F.lit(BAND)), lambda i: F.xxhash64(i, F.slice("_sketch", i, BAND)))
     banded = sketches.select("_text", F.explode(bands).alias("_band"))
-    shared = banded.groupBy("_band").agg(F.min("_text").alias("_other"), F.max("_text").alias("_last")).where("_other <> _last").select("_band", "_other")
-    pairs = banded.join(shared, "_band").where("_text <> _other").select("_text", "_other").distinct()
-    pairs = pairs.join(sketches, "_text").join(sketches.select(F.col("_text").alias("_other"), F.col("_sketch").alias("_theirs")), "_other")
+    shared = banded.groupBy("_band").agg(F.min("_text").alias("_other"), F.count("*").alias("_n")).where("_n > 1")
+    total = sketches.count() * (BINS // BAND)
+    pairs = written(spread_join(banded, shared, "_band", "_n", total, ["_text"]).where("_text <> _other").select("_text", "_other").distinct(), "pairs")
+    hubs = pairs.groupBy("_other").agg(F.count("*").alias("_n")).join(sketches.select(F.col("_text").alias("_other"), F.col("_sketch").alias("_theirs")), "_other")
+    pairs = spread_join(pairs.join(sketches, "_text"), hubs, "_other", "_n", total, ["_text"])
     agree = F.size(F.filter(F.zip_with("_sketch", "_theirs", lambda a, b: a == b), lambda x: x))
     links = pairs.where(agree >= ALIKE * BINS).select("_text", "_other")
     return components(links, "_text", "_other").select(F.col("node").alias("_text"), F.col("component").alias("_class"))
 
 
-def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_docs: int = 3, leading: int = 3, least_tokens: int = 4, fixed: float = 0.8, diverse: float = 0.34, copies_once: bool = False) -> DataFrame:
-    """The places (`key`, pos) of lines whose template recurs across documents.
+def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_docs: int = 3, leading: int = 3, fixed: float = 0.8) -> DataFrame:
+    """The places (_key, _text, _pos) of lines whose template recurs across documents; _text is the text's hash.
 
     The tree has a level for the number of tokens and one for each of the first `leading` tokens;
-    tokens with digits are variable (<*>) from the start. In a leaf with lines of `least_docs`
-    documents, a token stays in the template where at least `least_docs` different lines (or one line
-    of that many documents) have it in that position; other positions become <*>. A template counts
-    if at least the share `fixed` of its tokens is left. It recurs if lines of at least `least_docs`
-    different texts have it, with as many different lines before and after them, and these
-    neighbours number at least the share `diverse` of those texts: a passage that stands in copies
-    of one document has the neighbours of that document, and is left to the dedup of documents. So is
-    a block of several recurring lines that always stand together: each is the other's neighbour.
-
-    With `copies_once` neighbours don't matter, so a line may always open or close its texts, stand
-    between blank lines or in a block: a template recurs if at least `least_docs` different texts
-    have it of which no two are near copies (see `_near_copies`), each class of those counted once.
-
-    Lines are counted by hash first, so a line's many copies are one row from then on; leaves with
-    too few documents never meet their texts again. Nothing is kept for lines under `least_tokens`.
+    tokens with digits are variable (<*>) from the start. In a leaf with lines of `least_docs` texts,
+    a token stays in the template where at least `least_docs` different lines (or one line of that
+    many texts) have it in that position; other positions become <*>. A template counts if at least
+    the share `fixed` of its tokens is left. It recurs if at least `least_docs` different texts have
+    it of which no two are near copies (see `_near_copies`), each class of those counted once: the
+    lines of a document's copies are left to the dedup of documents. A line may be of any length and
+    stand anywhere, at the edges of its texts, between blank lines or in a block of fixed lines.
+
+    Texts are parsed once, and lines counted by hash, so a line's many copies are one row from then
+    on. Leaves, templates and classes that many lines have are dealt over several tasks.
     """
-    lines = _template_lines(docs, key, text, leading, least_tokens)
-    leaves = lines.groupBy("_leaf", "_text").agg(F.count("*").alias("n")).groupBy("_leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= least_docs).select("_leaf")
-    kept = written(lines.join(written(leaves, "leaves"), "_leaf", "left_semi"), "lines")
-    words = kept.groupBy("_leaf", "_h", "_text").agg(F.min("_line").alias("_line")).groupBy("_leaf", "_h").agg(F.count("*").alias("docs"), F.min("_line").alias("_line"))
-    unique = written(words.select("_leaf", "_h", "docs", _tokens(F.col("_line")).alias("_tokens")), "unique")
-    seen = unique.select("_leaf", "docs", F.posexplode("_tokens").alias("_i", "_t"))
-    seen = seen.groupBy("_leaf", "_i", "_t").agg(F.count("*").alias("n"), F.max("docs").alias("docs"))
-    firm = seen.where(((F.col("n") >= least_docs) | (F.col("docs") >= least_docs)) & (F.col("_t") != WILD))
-    firm = firm.select("_leaf", "_i", "_t")
-    spread = unique.select("_leaf", "_h", F.size("_tokens").alias("_n"), F.posexplode("_tokens").alias("_i", "_t"))
-    stays = spread.join(firm, ["_leaf", "_i", "_t"])
+    lines = written(_template_lines(docs, key, text, leading), "lines")
+    leaves = lines.groupBy("_leaf", "_text").agg(F.count("*").alias("n")).groupBy("_leaf").agg(F.count("*").alias("docs"), F.sum("n").alias("n")).where(F.col("docs") >= least_docs)
+    leaves = written(leaves.select("_leaf", "n"), "leaves")
+    total = leaves.agg(F.sum("n")).first()[0] or 0
+    kept = written(spread_join(lines, leaves, "_leaf", "n", total, ["_key", "_pos"], "left_semi"), "kept")
+    words = kept.groupBy("_leaf", "_h", "_text").agg(F.count("*").alias("n"), F.min("_line").alias("_line")).groupBy("_leaf", "_h").agg(F.count("*").alias("docs"), F.sum("n").alias("n"), F.min("_line").alias("_line"))
+    unique = written(words.select("_leaf", "_h", "docs", "n", _tokens(F.col("_line")).alias("_tokens")), "unique")
+    spread = unique.select("_leaf", "_h", "docs", F.size("_tokens").alias("_n"), F.posexplode("_tokens").alias("_i", "_t"))
+    seen = spread.groupBy("_leaf", "_i", "_t").agg(F.count("*").alias("n"), F.max("docs").alias("docs"))
+    firm = written(seen.where(((F.col("n") >= least_docs) | (F.col("docs") >= least_docs)) & (F.col("_t") != WILD)).select("_leaf", "_i", "_t", "n"), "firm")
+    stays = spread_join(spread.drop("docs"), firm, ["_leaf", "_i", "_t"], "n", firm.agg(F.sum("n")).first()[0] or 0, ["_h"])
     shape = F.xxhash64("_leaf", F.array_sort(F.collect_list(F.struct("_i", "_t"))))
     templates = stays.groupBy("_leaf", "_h", "_n").agg(F.count("*").alias("_firm"), shape.alias("_template"))
     templates = templates.where(F.col("_firm") >= F.col("_n") * fixed).select("_leaf", "_h", "_template")
-    places = written(kept.join(templates, ["_leaf", "_h"]).select("_key", "_pos", "_template", "_text", "_prev", "_next"), "places")
-
-    def distinct(column: str) -> DataFrame:
-        return places.groupBy("_template", column).agg(F.count("*").alias("n")).groupBy("_template").agg(F.count("*").alias(f"n{column}"))
-
-    if copies_once:
-        held = written(places.select("_template", "_text").distinct(), "held")
-        often = held.groupBy("_template").agg(F.count("*").alias("n_text")).where(F.col("n_text") >= least_docs).select("_template")
-        held = written(held.join(often, "_template", "left_semi"), "held")
-        told = held.join(_near_copies(docs, held.select("_text").distinct(), text), "_text", "left")
-        told = told.select("_template", F.coalesce("_class", "_text").alias("_class")).distinct()
-        recur = told.groupBy("_template").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select("_template")
-        return places.join(recur, "_template", "left_semi").select(F.col("_key").alias(key), F.col("_pos").alias("pos")).distinct()
-    counts = distinct("_text").join(distinct("_prev"), "_template").join(distinct("_next"), "_template")
-    least = F.greatest(F.lit(least_docs), F.col("n_text") * diverse)
-    recur = counts.where((F.col("n_text") >= least_docs) & (F.col("n_prev") >= least) & (F.col("n_next") >= least)).select("_template")
-    return places.join(recur, "_template", "left_semi").select(F.col("_key").alias(key), F.col("_pos").alias("pos")).distinct()
+    templates = written(templates.join(unique.select("_leaf", "_h", "n"), ["_leaf", "_h"]), "templates")
+    places = written(spread_join(kept.drop("_line"), templates, ["_leaf", "_h"], "n", total, ["_key", "_pos"]).select("_key", "_text", "_pos", "_template"), "places")
+    held = written(places.groupBy("_template", "_text").agg(F.count("*").alias("n"), F.min("_key").alias("_key")), "held")
+    often = held.groupBy("_template").agg(F.count("*").alias("docs"), F.sum("n").alias("n")).where(F.col("docs") >= least_docs).select("_template", F.col("docs").alias("_docs"), F.col("n").alias("_n"))
+    often = written(often, "often")
+    held = written(spread_join(held, often, "_template", "_docs", total, ["_text"]).select("_template", "_text", "_key", "_n"), "held")
+    near = _near_copies(docs, key, text, held.groupBy("_text").agg(F.min("_key").alias("_key")))
+    told = held.join(near, "_text", "left").select("_template", "_n", F.coalesce("_class", "_text").alias("_class")).distinct()
+    recur = written(told.groupBy("_template").agg(F.count("*").alias("classes"), F.first("_n").alias("_n")).where(F.col("classes") >= least_docs).select("_template", "_n"), "recur")
+    return spread_join(places, recur, "_template", "_n", total, ["_key", "_pos"], "left_semi").select("_key", "_text", "_pos").distinct()
 
 
 def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -127,19 +115,20 @@ def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
 
     Adds n_lines (0 for an empty text), n_dropped and changed; the text keeps the other lines in
     order, joined by newlines. No row goes: a document all of whose lines recur gets an empty text.
-    Null texts stay null, null keys lose no lines, rows that repeat a key lose the places that any of
-    them loses. Columns of the added names in the input are replaced. An empty table gives no rows.
+    Null texts stay null and null keys lose no lines; texts of any length are read whole; of rows that
+    repeat a key, each loses its own text's lines. Columns of the added names in the input are
+    replaced, others come back as they were. An empty table gives no rows.
     """
-    places = recurring_lines(docs.where(F.col(key).isNotNull()), key, text, **options)
-    gone = places.groupBy(F.col(key).alias("_gone_key")).agg(F.collect_list("pos").alias("_gone"))
+    places = settled(docs.sparkSession, lambda: recurring_lines(docs.where(F.col(key).isNotNull()), key, text, **options), "gone")
+    gone = places.groupBy("_key", "_text").agg(F.collect_list("_pos").alias("_gone"))
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "changed")]
-    rows = docs.select(F.struct(*own).alias("_row"), F.col(key).alias("_key"))
-    joined = rows.join(gone, F.col("_key") == F.col("_gone_key"), "left")
+    rows = docs.select(F.struct(*own).alias("_row"), F.col(key).alias("_key"), F.xxhash64(text_of(text)).alias("_text"))
+    joined = rows.join(gone, ["_key", "_text"], "left")
     joined = joined.select("_row", "_gone", F.coalesce(F.col("_row")[text].cast("string"), F.lit("")).alias("_whole"))
     lines = F.split("_whole", "\n")
     left = F.filter(lines, lambda line, i: ~F.array_contains("_gone", i))
     n = F.when(F.col("_whole") == "", F.lit(0)).otherwise(F.size(lines))
-    dropped = F.coalesce(F.size(F.filter("_gone", lambda p: p < F.size(lines))), F.lit(0))
+    dropped = F.coalesce(F.size("_gone"), F.lit(0))
     # In two steps: within one select Spark would take the new text for the old one inside a lambda.
     told = joined.select("_row", n.alias("n_lines"), dropped.alias("n_dropped"), (dropped > 0).alias("changed"), F.array_join(left, "\n").alias("_left"))
     columns = [(F.when(F.col("changed"), F.col("_left")).otherwise(F.col("_row")[c]) if c == text else F.col("_row")[c]).alias(c) for c in own]
@@ -153,15 +142,13 @@ def op9_line_templates(spark, sf_dir: str) -> DataFrame:
 
 
 _MASK = r"regexp_replace({}, '[^ \t\r\f\v]*[0-9][^ \t\r\f\v]*', '<*>', 'g')"
-#: The same rules over texts and tokens themselves, in DuckDB.
+#: The same rules over texts and tokens themselves, in DuckDB; near copies by the exact likeness of all pairs with a common shingle.
 OP9_SQL = f"""
-WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+WITH RECURSIVE docs AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 masked AS (SELECT doc_id, text, list_transform(lines, lambda x: {_MASK.format('x')}) AS lines FROM docs),
-exploded AS (SELECT doc_id, text, unnest(lines) AS line, unnest(range(len(lines))) AS pos, lines FROM masked),
-near AS (
-  SELECT doc_id, text, pos, line, CASE WHEN pos > 0 THEN lines[pos] ELSE NULL END AS prev, lines[pos + 2] AS next,
-         list_filter(regexp_split_to_array(line, '[ \\t\\r\\f\\v]+'), lambda t: t <> '') AS tokens FROM exploded),
-leafed AS (SELECT *, len(tokens) AS n, tokens[1:3] AS lead FROM near WHERE len(tokens) >= 4),
+exploded AS (SELECT doc_id, text, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM masked),
+near AS (SELECT doc_id, text, pos, line, list_filter(regexp_split_to_array(line, '[ \\t\\r\\f\\v]+'), lambda t: t <> '') AS tokens FROM exploded),
+leafed AS (SELECT *, len(tokens) AS n, tokens[1:3] AS lead FROM near WHERE len(tokens) > 0),
 leaves AS (SELECT n, lead FROM leafed GROUP BY ALL HAVING count(DISTINCT text) >= 3),
 kept AS (SELECT leafed.* FROM leafed JOIN leaves USING (n, lead)),
 uniq AS (SELECT n, lead, line, first(tokens) AS tokens, count(DISTINCT text) AS docs FROM kept GROUP BY n, lead, line),
@@ -170,13 +157,22 @@ firm AS (SELECT n, lead, i, t FROM spread GROUP BY n, lead, i, t HAVING (count(*
 templates AS (
   SELECT n, lead, line, string_agg(i || ':' || t, chr(10) ORDER BY i) AS template
   FROM spread JOIN firm USING (n, lead, i, t) GROUP BY n, lead, line HAVING count(*) >= n * 0.8),
-places AS (SELECT kept.*, template FROM kept JOIN templates USING (n, lead, line)),
-recur AS (
-  SELECT n, lead, template FROM places GROUP BY n, lead, template
-  HAVING count(DISTINCT text) >= 3
-     AND count(DISTINCT coalesce(prev, chr(1))) >= greatest(3, count(DISTINCT text) * 0.34)
-     AND count(DISTINCT coalesce(next, chr(1))) >= greatest(3, count(DISTINCT text) * 0.34)),
-gone AS (SELECT doc_id, list(pos) AS gone FROM places JOIN recur USING (n, lead, template) GROUP BY doc_id)
+places AS (SELECT kept.*, md5(n || chr(1) || array_to_string(lead, ' ') || chr(1) || template) AS template FROM kept JOIN templates USING (n, lead, line)),
+held AS MATERIALIZED (
+  SELECT DISTINCT template, md5(text) AS t, text FROM places
+  WHERE template IN (SELECT template FROM places GROUP BY template HAVING count(DISTINCT text) >= 3)),
+worded AS (SELECT DISTINCT t, regexp_split_to_array(text, '[ \\t\\r\\f\\v\\n]+') AS w FROM held),
+shingled AS MATERIALIZED (
+  SELECT DISTINCT t, md5(array_to_string(w[i:i + {SHINGLE - 1}], ' ')) AS s FROM (SELECT t, w, unnest(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1)) AS i FROM worded)),
+sizes AS (SELECT t, count(*) AS n FROM shingled GROUP BY t),
+common AS (SELECT a.t AS a, b.t AS b, count(*) AS n FROM shingled a JOIN shingled b ON a.s = b.s AND a.t < b.t GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT a, b FROM common JOIN sizes x ON x.t = a JOIN sizes y ON y.t = b WHERE common.n >= {ALIKE} * (x.n + y.n - common.n)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
+class AS (SELECT a AS t, least(a, min(b)) AS c FROM reach GROUP BY a),
+recur AS (SELECT template FROM held LEFT JOIN class USING (t) GROUP BY template HAVING count(DISTINCT coalesce(c, t)) >= 3),
+gone AS (SELECT doc_id, list(pos) AS gone FROM places WHERE template IN (SELECT template FROM recur) GROUP BY doc_id)
 SELECT d.doc_id, CAST(CASE WHEN d.text = '' THEN 0 ELSE len(d.lines) END AS INTEGER) AS n_lines,
        CAST(coalesce(len(gone), 0) AS INTEGER) AS n_dropped,
        sha256(CASE WHEN gone IS NULL THEN d.text ELSE coalesce(array_to_string(

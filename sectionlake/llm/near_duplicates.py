@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sectionlake.llm.common import components, spread_join, written
+from sectionlake.llm.common import components, settled, spread_join, written
 from sectionlake.llm.token_counts import slices
 from sectionlake.session import ship_package
 
@@ -323,7 +323,7 @@ def _tiled_links(mixed: DataFrame, classes: DataFrame, sets: DataFrame, least: f
 
 
 def _linked_rows(docs: DataFrame, key: str, text: str, width: int, least: float, bands: int, rows: int) -> DataFrame:
-    """_id, _text, _class, _low (the first _id and _text of the row's component; null for rows that link with nothing), written."""
+    """_id, _text, _class, _low (the first _id and _text of the row's component; null for rows that link with nothing)."""
     signed = written(_signed(docs, key, text, width, bands, rows), "signatures")
     worded = signed.where(F.col("_class").isNotNull())
     first = F.min(F.struct("_id", "_text")).alias("_first")
@@ -359,7 +359,7 @@ def _linked_rows(docs: DataFrame, key: str, text: str, width: int, least: float,
     n_rows = told.agg(F.sum("_copies")).first()[0] or 0
     found = spread_join(worded.select("_id", "_text", "_class"), told, "_class", "_copies", n_rows, ["_id", "_text"]).select("_id", "_text", "_low")
     rest = signed.where(F.col("_class").isNull()).select("_id", "_text", F.lit(None).cast(found.schema["_low"].dataType).alias("_low"))
-    return written(found.unionByName(rest), "rows")
+    return found.unionByName(rest)
 
 
 def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, bands: int = 26, rows: int = 5) -> DataFrame:
@@ -385,7 +385,7 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     then the smallest MD5 of the text, and rows equal to it in both are kept too. An empty table
     gives no rows. Only the key and the text are read, so other columns can't clash.
     """
-    found = _linked_rows(docs, key, text, width, least, bands, rows)
+    found = settled(docs.sparkSession, lambda: _linked_rows(docs, key, text, width, least, bands, rows), "rows")
     kept = F.col("_low").isNull() | ((F.col("_low._id") == F.col("_id")) & (F.col("_low._text") == F.col("_text")))
     return found.select(F.col("_id").alias(key), F.coalesce("_low._id", "_id").alias("component_id"), kept.alias("kept"))
 
@@ -396,7 +396,7 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     Of rows that are equal in key and text one stays, whichever. Rows with null keys and texts without
     words all stay. Columns come back as they were, whatever their names.
     """
-    found = _linked_rows(docs, key, text, width, least, bands, rows).where(F.col("_low").isNotNull())
+    found = settled(docs.sparkSession, lambda: _linked_rows(docs, key, text, width, least, bands, rows), "rows").where(F.col("_low").isNotNull())
     first = (F.col("_low._id") == F.col("_id")) & (F.col("_low._text") == F.col("_text"))
     gone = found.where(~first).select("_id", "_text").distinct()
     twice = found.where(first).groupBy("_id", "_text").agg(F.count("*").alias("n")).where("n > 1").select("_id", "_text")
