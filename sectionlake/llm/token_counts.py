@@ -156,46 +156,61 @@ class CountingTransducer:
             self.table = grown
         self.table[s, self.columns[byte]] = to << 8 | n + 128
 
-    def count_chunks(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Tokens of chunks of a byte array, each from the start state; all chunks step together."""
+    def _renew(self, arrays: list[np.ndarray]) -> None:
+        """A new, small table with the states that the arrays hold, whose ids there change with it."""
+        held = [np.unique(x) for x in arrays]
+        keys = {s: self.states[s] for s in np.unique(np.concatenate(held)).tolist() if s >= 0}
+        self.reset()
+        to: dict[int, int] = {}
+        for s, key in keys.items():
+            if key not in self.ids:
+                self.ids[key] = len(self.states)
+                self.states.append(key)
+            to[s] = self.ids[key]
+        while len(self.states) > len(self.table):
+            self.table = np.zeros((2 * len(self.table), self.table.shape[1]), dtype=np.int32)
+        for x, own in zip(arrays, held):
+            new = np.array([to.get(s, -1) for s in own.tolist()], dtype=x.dtype)
+            x[...] = new[np.searchsorted(own, x)]
+
+    def run_chunks(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, entry: np.ndarray, pinned: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Exit state and token count of chunks of a byte array, each from its entry state; all chunks step together.
+
+        A table of more than `most` states is made anew with those in use; `pinned` names arrays of
+        states that must stay valid then.
+        """
         order = np.argsort(starts - ends, kind="stable")
         at, left = starts[order].astype(np.int64), (ends - starts)[order]
-        state, counts = np.zeros(len(order), dtype=np.int32), np.zeros(len(order), dtype=np.int64)
+        state, counts = entry[order].astype(np.int64), np.zeros(len(order), dtype=np.int64)
         live, step = len(order), 0
         falling = -left
         while live := int(np.searchsorted(falling, -step, side="left")) if live else 0:
             if len(self.states) > self.most:
-                held = [self.states[s] for s in state[:live]]
-                self.reset()
-                for key in held:
-                    if key not in self.ids:
-                        self.ids[key] = len(self.states)
-                        self.states.append(key)
-                while len(self.states) > len(self.table):
-                    self.table = np.zeros((2 * len(self.table), self.table.shape[1]), dtype=np.int32)
-                state[:live] = [self.ids[key] for key in held]
+                self._renew([state, *pinned])
             byte = data[at[:live] + step]
             now = state[:live]
             move = self.table[now, self.columns[byte]]
             if not move.all():
                 lost = np.flatnonzero(move == 0)
-                for key in np.unique(now[lost].astype(np.int64) << 8 | byte[lost]).tolist():
+                for key in np.unique(now[lost] << 8 | byte[lost]).tolist():
                     self._compile(key >> 8, key & 255)
                 move = self.table[now, self.columns[byte]]
             counts[:live] += (move & 255) - 128
             state[:live] = move >> 8
             step += 1
-        out = np.empty_like(counts)
-        out[order] = counts
-        return out
+        out, exits = np.empty_like(counts), np.empty_like(state)
+        out[order], exits[order] = counts, state
+        return exits, out
 
-    def count(self, data: np.ndarray, offsets: np.ndarray, chunk: int = 768) -> np.ndarray:
+    def count(self, data: np.ndarray, offsets: np.ndarray, chunk: int = 768, back: int = 48) -> np.ndarray:
         """Tokens of each text of a batch: UTF-8 bytes and the n + 1 places where texts begin and end.
 
-        Texts are cut where the splitting rules always part them, before ASCII white space behind an
-        ASCII sign that isn't white: there every state map goes to the start state, whatever comes
-        before, so a chunk's map is (any state) -> (exit, count). Such maps compose by adding counts
-        and keeping the last exit; the scan over a batch's chunks is one running sum.
+        Texts are cut into chunks anywhere, in words and in characters too. A chunk's map sends entry
+        states to exit states and token counts. It is a partial map of at most two entries: first the
+        state that the `back` bytes before the chunk lead to from the start, then, if that was not the
+        one, the state that comes in. Maps compose by a parallel prefix scan (`_scan`); where a text's
+        composition runs into a map without the state that comes in, the map is extended by it, for
+        all texts at once, and the scan is done again. The result is exact, whatever was guessed.
         """
         texts = len(offsets) - 1
         starts, ends, owner, plus = offsets[:-1], offsets[1:], np.arange(texts), np.zeros(texts, dtype=np.int64)
@@ -204,24 +219,67 @@ class CountingTransducer:
             mark = special.encode()
             if mark in raw:
                 starts, ends, owner = self._parts(raw, mark, starts, ends, owner, plus)
-        white = (data == 32) | ((data >= 9) & (data <= 13))
-        solid = (data > 32) & (data < 127)
-        places = np.flatnonzero(white[1:] & solid[:-1]) + 1
         whole = np.maximum(1, (ends - starts) // chunk)
         part = np.repeat(np.arange(len(starts)), whole)
-        k = np.arange(len(part)) - np.repeat(np.cumsum(whole) - whole, whole)
-        wished = starts[part] + k * chunk
-        found = np.append(places, len(data))[np.searchsorted(places, wished)]
-        begin = np.where(k == 0, starts[part], np.minimum(found, ends[part]))
-        end = np.append(begin[1:], 0)
-        last = np.append(part[1:] != part[:-1], True)
-        end = np.where(last, ends[part], end) if len(part) else end
-        counts = self.count_chunks(data, begin, end)
-        running = np.concatenate([[0], np.cumsum(counts)])
-        edges = np.searchsorted(part, np.arange(len(starts) + 1))
-        np.add.at(plus, owner, running[edges[1:]] - running[edges[:-1]])
+        place = np.arange(len(part)) - np.repeat(np.cumsum(whole) - whole, whole)
+        begin = starts[part] + place * chunk
+        last = np.append(part[1:] != part[:-1], True) if len(part) else np.zeros(0, dtype=bool)
+        end = np.where(last, ends[part], begin + chunk)
+        inner = np.flatnonzero(place > 0)
+        look = begin[inner] - back
+        for _ in range(3):  # to the start of a character
+            look = look - ((data[look] & 0xC0) == 0x80)
+        entry = np.full((len(part), 2), -1, dtype=np.int64)
+        entry[:, 0] = 0
+        entry[inner, 0] = self.run_chunks(data, look, begin[inner], np.zeros(len(inner), dtype=np.int64), [])[0]
+        exits, counts = np.full_like(entry, -1), np.zeros_like(entry)
+        exits[:, 0], counts[:, 0] = self.run_chunks(data, begin, end, entry[:, 0], [entry])
+        todo = np.arange(len(part))  # the chunks of texts that aren't composed to their end yet
+        while len(todo):
+            lack, total = self._scan(entry[todo], exits[todo], counts[todo], place[todo])
+            stuck = np.flatnonzero(lack >= 0)
+            open_ = np.zeros(len(starts), dtype=bool)
+            open_[part[todo[stuck]]] = True
+            ready = last[todo] & ~open_[part[todo]]
+            np.add.at(plus, owner[part[todo[ready]]], total[ready])
+            more = todo[stuck]
+            entry[more, 1] = lack[stuck]
+            exits[more, 1], counts[more, 1] = self.run_chunks(data, begin[more], end[more], entry[more, 1], [entry, exits])
+            todo = todo[open_[part[todo]]]
         return plus
 
+    @staticmethod
+    def _scan(entry: np.ndarray, exits: np.ndarray, counts: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The inclusive prefix scan of chunk maps by doubling, restarted at each text's first chunk (place 0).
+
+        A map is a row of entry states (-1: none), exit states and counts. After the step of span s a
+        row is the composition of the 2s chunks that end with its own. Returns for each chunk the
+        state that its map lacks, if it is the first of its text to lack one (else -1), and the
+        tokens of its text up to its end (of no use behind a lack).
+        """
+        rows = len(place)
+        here = np.arange(rows)
+        entry, exits, counts = entry.copy(), exits.copy(), counts.copy()
+        span = 1
+        while span <= place.max(initial=0):
+            right = np.flatnonzero(place >= span)
+            left = right - span
+            # The exits of the left map, looked up among the entries of the right one.
+            met = (exits[left][:, :, None] == entry[right][:, None, :]) & (entry[left] >= 0)[:, :, None]
+            at, found = met.argmax(axis=2), met.any(axis=2)
+            after = np.take_along_axis(exits[right], at, axis=1)
+            plus = np.take_along_axis(counts[right], at, axis=1)
+            entry[right], exits[right], counts[right] = np.where(found, entry[left], -1), np.where(found, after, -1), counts[left] + plus
+            span *= 2
+        # A text starts in state 0.
+        at = (entry == 0).argmax(axis=1)
+        whole = entry[here, at] == 0
+        final = exits[here, at]
+        stuck = ~whole & np.append(True, whole[:-1])[:rows] & (place > 0)
+        lack = np.full(rows, -1, dtype=np.int64)
+        lack[stuck] = final[np.flatnonzero(stuck) - 1]
+        return lack, counts[here, at]
+
     def _parts(self, raw: bytes, mark: bytes, starts, ends, owner, plus):
         """Texts without the special strings in them; each such string is one token."""
         rows = []
