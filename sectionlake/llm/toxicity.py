@@ -19,6 +19,8 @@ from sectionlake.session import ship_package
 LENGTH, GAP = 4, 0.8
 #: The kernel of two words is this power of the normalised subsequence kernel, so that words in common letters alone count for little.
 POWER = 4
+#: A word has at least this share of a landmark's letters in common with it, in order, or counts nothing.
+COMMON = 0.75
 #: Longer words are scored by windows of so many letters that overlap by half.
 WINDOW = 24
 #: A sentence has at most so many words; a longer one is several.
@@ -187,7 +189,8 @@ def _codes(words: list[str], width: int) -> np.ndarray:
 def word_features(words: list[str], landmarks: list[str]) -> np.ndarray:
     """The word kernel with each landmark: the subsequence kernel, normalised by both strings' own, to the power POWER.
 
-    Words (letters only) beyond WINDOW take the most of their windows.
+    It is 0 where a word and a landmark have no common subsequence of the share COMMON of the
+    landmark's letters (LENGTH at least). Words (letters only) beyond WINDOW take the most of their windows.
     """
     out = np.zeros((len(words), len(landmarks)), dtype=np.float32)
     marks = [_codes([x], len(x))[0] for x in landmarks]
@@ -203,6 +206,8 @@ def word_features(words: list[str], landmarks: list[str]) -> np.ndarray:
     alphabet = np.unique(np.concatenate(marks)) if marks else np.zeros(0, np.uint32)
     # For each landmark and letter (the last row: any other one): the places of the letter in the landmark, as bits.
     places = [np.array([*(int(sum(1 << i for i in np.flatnonzero(m == a))) for a in alphabet), 0], dtype=np.uint16) for m in marks]
+    least = [max(LENGTH, int(np.ceil(COMMON * len(m) - 1e-9))) for m in marks]
+    held = np.array([[int((m == a).sum()) for m in marks] for a in alphabet]).reshape(len(alphabet), len(marks))
     for low in range(0, len(order), 4096):
         at = order[low : low + 4096]
         codes = _codes([parts[i] for i in at.tolist()], int(sizes[at[-1]]))
@@ -210,8 +215,17 @@ def word_features(words: list[str], landmarks: list[str]) -> np.ndarray:
         near = np.minimum(np.searchsorted(alphabet, codes), max(0, len(alphabet) - 1))
         letter = np.where(alphabet[near] == codes, near, len(alphabet)).T
         norm = np.zeros(len(at), dtype=np.float32)  # of the words that some landmark needs it for
+        # First by letters alone: so many letters of a word are in a landmark.
+        counts = np.zeros((len(at), len(alphabet) + 1), dtype=np.int16)
+        for here in letter:
+            counts[np.arange(len(at)), here] += 1
+        shared = np.zeros((len(at), len(marks)), dtype=np.float32)
+        for times in range(1, int(held.max(initial=0)) + 1):
+            shared += (counts[:, :-1] >= times).astype(np.float32) @ (held >= times).astype(np.float32)
         for k, mark in enumerate(marks):
-            able = np.flatnonzero(_longest_common(places[k][letter], len(mark)) >= LENGTH)
+            able = np.flatnonzero(shared[:, k] >= least[k])
+            if len(able):
+                able = able[_longest_common(places[k][letter[:, able]], len(mark)) >= least[k]]
             if not len(able):
                 continue
             new = able[norm[able] == 0]
