@@ -45,12 +45,17 @@ def best_paths(nodes: DataFrame, most_steps: int = 40) -> DataFrame:
     length, then the lower node; a tree's first one is chosen. Each iteration is written, as are the
     marks that go back up from the chosen leaves by the same doubled steps. No path is ever held as
     a list. A parent that isn't there makes its children roots of paths; of a tree's several roots
-    the best path over all of them is taken. Rows that repeat a node, and cycles, raise an error.
+    the best path over all of them is taken. Rows that repeat a node of a conversation, and cycles,
+    raise a ValueError. Null scores are 0, a null parent is a root, a null node is a node as any other
+    that nothing answers, and null conversations are one conversation. An empty table gives no rows.
     """
     score = F.coalesce(F.col("score").cast("double"), F.lit(0.0)) if "score" in nodes.columns else F.lit(0.0)
     base = nodes.select(F.col("conversation").alias("c"), "node", "parent", score.alias("s"))
     base = base.withColumn("c", F.coalesce(F.col("c").cast("string"), F.lit("\x00null")))
-    here = base.select("c", F.col("node").alias("parent"), F.lit(True).alias("_there")).distinct()
+    held = written(base.groupBy("c", "node").agg(F.count("*").alias("n")), "nodes")
+    if twice := held.where("n > 1").select("c", "node").first():
+        raise ValueError(f"conversation {twice['c']} has several nodes {twice['node']}")
+    here = held.select("c", F.col("node").alias("parent"), F.lit(True).alias("_there"))
     linked = base.join(here, ["c", "parent"], "left")
     step = linked.select("c", "node", F.when(F.col("_there"), F.col("parent")).alias("up"), F.when(F.col("_there"), 1).otherwise(0).cast("long").alias("d"), "s")
     live, ended, climbs = written(step, "climb"), [], []
