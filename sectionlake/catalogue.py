@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sectionlake.queries import incremental, lexical, parsing, ranking, reading, scanning
+from sectionlake.queries import incremental, lexical, parsing, ranking, reading, scanning, stored
 
-_MODULES = (lexical, scanning, reading, ranking, incremental, parsing)
+_MODULES = (lexical, scanning, reading, ranking, incremental, parsing, stored)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}

@@ -65,12 +65,13 @@ def _field_positions(tokens: list[str], field: str) -> list[Column]:
     return [F.coalesce(F.try_element_at(F.col("_terms"), F.lit(t))[field], none) for t in tokens]
 
 
-def ranked(postings: DataFrame, n_sections: int, mean_length: float, tokens: list[str], within: Column | None = None) -> DataFrame:
+def ranked(postings: DataFrame, n_sections: int, mean_length: float, tokens: list[str], within: Column | None = None, terms: DataFrame | None = None) -> DataFrame:
     """id, path, tier (0 the phrase, 1 all words, 2 any) and score of every section that holds a word.
 
     Document frequencies and sizes are those of the whole corpus, whatever `within` lets through. A
     word that stands twice in the query counts twice. Only the postings of the query's words are read
-    and brought together, one row for each section and word.
+    and brought together, one row for each section and word. With `terms` (term, df) the frequencies
+    of words are looked up there, and only that of a phrase is counted.
     """
     folded = [fold_token(t) for t in tokens]
     wanted = postings.where(F.col("term").isin(sorted(set(folded))))
@@ -81,13 +82,17 @@ def ranked(postings: DataFrame, n_sections: int, mean_length: float, tokens: lis
     phrases += [(F.size(h), F.size(b)) for h, b in zip(heading, body)]
     rows = rows.select("id", "path", "length", *[h.alias(f"_h{i}") for i, (h, _) in enumerate(phrases)], *[b.alias(f"_b{i}") for i, (_, b) in enumerate(phrases)])
     present = [(F.col(f"_h{i}") + F.col(f"_b{i}")) > 0 for i in range(len(phrases))]
-    counts = rows.agg(*[F.count_if(p).alias(str(i)) for i, p in enumerate(present)]).first()  # a number for each phrase
+    known: dict[str, int] = {}
+    if terms is not None:  # a row for each word of the query
+        known = {r["term"]: r["df"] for r in terms.where(F.col("term").isin(sorted(set(folded)))).collect()}
+    first = len(phrases) - len(folded)  # where the single words start
+    asked = list(range(len(phrases) if terms is None else first))
+    told = rows.agg(*[F.count_if(present[i]).alias(str(i)) for i in asked]).first() if asked else ()  # a number for each phrase
     weights = []
-    for df in counts:
+    for df in [*told, *[known.get(t, 0) for t in folded[: len(phrases) - len(asked)]]]:
         value = math.log((n_sections - df + 0.5) / (df + 0.5))
         weights.append(F.lit(value if value > 0 else scoring.LEAST_IDF))
     score = [scoring.bm25(weights[i], F.col(f"_h{i}"), F.col(f"_b{i}"), F.col("length"), F.lit(mean_length)) for i in range(len(phrases))]
-    first = len(phrases) - len(folded)  # where the single words start
     words, every = sum(score[first:], F.lit(0.0)), present[first]
     for p in present[first + 1 :]:
         every = every & p

@@ -162,6 +162,38 @@ def ingest_table(spark: SparkSession, rows: DataFrame, root: str, *, path: str =
     return _ingest(spark, "(table)", root, found, parse, limits, index_budget, *defaults.values())
 
 
+def import_sections(spark: SparkSession, sections: DataFrame, root: str, title: str = "(sections)", index_budget: int = INDEX_BUDGET) -> store.Snapshot:
+    """A new store of sections that exist already: path, ordinal, heading_path, kind and text; nothing is parsed.
+
+    Ids are path#ordinal; a document's title and summary are its path, its hash is over those of its
+    sections. Null texts and headings are empty; rows must not repeat a path and ordinal.
+    """
+    rows = sections.select(F.xxhash64("path").alias("doc_id"), "path", F.col("ordinal").cast("int").alias("ordinal"), F.coalesce("heading_path", F.lit("")).alias("heading_path"), F.lit(0).alias("level"), "kind", F.coalesce("text", F.lit("")).alias("text"))
+    rows = reading.adjacent(rows.withColumn("id", F.concat("path", F.lit("#"), F.col("ordinal").cast("string"))))
+    rows = rows.withColumns({"char_len": F.length("text"), "hash": F.sha2("text", 256)})
+    at, here, tables = root.rstrip("/"), "snap-1", {}
+
+    def write(name: str, df: DataFrame, *order: str) -> DataFrame:
+        target = f"{here}/{name}.parquet"
+        names = [field.strip().split(" ")[0] for field in store.TABLES[name].split(", ")]
+        df.select(*names).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{at}/{target}")
+        tables[name] = target
+        return spark.read.schema(store.TABLES[name]).parquet(f"{at}/{target}")
+
+    kept = write("sections", rows.repartitionByRange("doc_id", "ordinal"), "doc_id", "ordinal")
+    hashes = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "hash"))), lambda x: x["hash"]), "")
+    told = kept.groupBy("doc_id", "path").agg(F.sha2(hashes, 256).alias("sha256"), F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.count("*").cast("int").alias("n_sections"))
+    told = told.withColumns({"title": F.col("path"), "summary": F.col("path"), "summary_src": F.lit("offline"), "kind": F.lit("text"), "settings": F.lit("imported"), "ingested_at": F.lit(None).cast("timestamp")})
+    documents = write("documents", told, "path")
+    postings = write("postings", lexical.postings_of(kept.select("id", "path", "heading_path", "text")).repartitionByRange("term", "id"), "term", "id")
+    write("terms", postings.groupBy("term").agg(F.count("*").alias("df")), "term")
+    n, tokens = lexical.corpus_size(kept)
+    meta = {"schema_version": store.SCHEMA_VERSION, "corpus_root": title, "summarizer": "offline", "index_budget_tokens": str(index_budget), "corpus_fingerprint": fingerprint(documents)}
+    body, mode, size = contents.build_index(documents, meta, index_budget)
+    meta |= {"index_text": body, "index_mode": mode, "index_tokens": str(size), "ingested_at": datetime.now(timezone.utc).isoformat(timespec="seconds")}
+    return store.commit(spark, at, {"snapshot": 1, "tables": tables, "meta": meta, "documents": documents.count(), "sections": n, "tokens": tokens})
+
+
 def _ingest(spark, corpus, root, found, parse, limits, index_budget, summarizer, summarizer_name, embed_model, embed, progress) -> Report:
     say = progress or (lambda message: None)
     io = store.Files(spark, root)
@@ -204,7 +236,8 @@ def _ingest(spark, corpus, root, found, parse, limits, index_budget, summarizer,
     if touched or retry:
         new_sections = exploded_sections(good)
         if touched:
-            sections = write("sections", upsert(sections, new_sections, gone), "doc_id", "ordinal")
+            # Dealt by ranges of the document's hash, so that a read by id opens one file.
+            sections = write("sections", upsert(sections, new_sections, gone).repartitionByRange("doc_id", "ordinal"), "doc_id", "ordinal")
         summaries = _summaries(good, sections, documents, old.table("summaries"), summarizer, summarizer_name, report, write)
         now = datetime.now(timezone.utc).replace(tzinfo=None, microsecond=0)
         added = good.join(summaries, "path", "left").select(

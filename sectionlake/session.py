@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -38,6 +39,23 @@ def spread(df: DataFrame, bytes_each: int = 8 << 20) -> DataFrame:
     return df.repartition(cores) if size < cores * bytes_each and len(df.inputFiles()) < cores else df
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A folder that driver and executors share, below spark.checkpoint.dir.
+
+    Where it is unset, a local master gets a temporary folder and any other master is refused,
+    for a machine-local folder loses what other executors wrote.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _scratch:
+        base = context.getConf().get("spark.checkpoint.dir")
+        if not base and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = base or "file://" + tempfile.mkdtemp(prefix="sectionlake-")
+        _scratch[context.applicationId] = f"{base.rstrip('/')}/sectionlake-{uuid.uuid4().hex}"
+    return _scratch[context.applicationId]
+
+
+_scratch: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
