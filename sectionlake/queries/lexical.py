@@ -98,11 +98,10 @@ def search_snippets(spark, sf_dir: str) -> DataFrame:
 
 
 def search_batch(spark, sf_dir: str) -> DataFrame:
-    """Every benchmark item's first five words as a query, over all documents."""
+    """Every benchmark item's whole text as a query, over all documents."""
     sections = _sections(spark, sf_dir)
     rows, tokens = lexical.corpus_size(sections)
-    words = F.slice(text.query_tokens(F.coalesce("text", F.lit(""))), 1, 5)
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(words, " ").alias("query"))
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.coalesce("text", F.lit("")).alias("query"))
     best = lexical.search_batch(lexical.postings_of(sections), rows, tokens / max(1, rows), queries, 5)
     return best.select("qid", "rank", "id", F.round("score", 6).alias("score"))
 
@@ -161,7 +160,7 @@ lengths AS (SELECT id, len(h) + len(b) AS length FROM tokened),
 sizes AS (SELECT count(*)::DOUBLE AS n, sum(length)::DOUBLE / count(*) AS mean FROM lengths),
 hits AS (SELECT id, term, sum(x) AS hh, sum(y) AS bb FROM (
   SELECT id, unnest(h) AS term, 1 AS x, 0 AS y FROM tokened UNION ALL SELECT id, unnest(b), 0, 1 FROM tokened) GROUP BY id, term),
-words AS (SELECT item_id AS qid, {c.sql_fold("unnest(" + c.sql_query_tokens("coalesce(text, '')") + "[1:5])")} AS term FROM benchmark),
+words AS (SELECT item_id AS qid, {c.sql_fold("unnest(" + c.sql_query_tokens("coalesce(text, '')") + ")")} AS term FROM benchmark),
 asked AS (SELECT qid, term, count(*) AS times FROM words GROUP BY qid, term),
 df AS (SELECT term, count(*) AS df FROM hits GROUP BY term),
 weighed AS (SELECT qid, term, times * CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS w FROM asked JOIN df USING (term), sizes),

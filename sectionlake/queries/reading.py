@@ -15,19 +15,14 @@ def adjacency(spark, sf_dir: str) -> DataFrame:
     return reading.adjacent(c.turn_sections(spark, sf_dir)).select("id", "prev_id", "next_id")
 
 
-def _asked(rows: DataFrame) -> DataFrame:
-    """Every second turn of every conversation."""
-    return rows.where(F.col("ordinal") % 2 == 1).select("id")
-
-
 def read_context(spark, sf_dir: str) -> DataFrame:
     rows = c.turn_sections(spark, sf_dir)
-    return reading.around(rows, _asked(rows), 2, 2, itself=False).select("asked", "id", F.sha2("text", 256).alias("text_sha256"))
+    return reading.around(rows, rows.select("id"), 2, 2, itself=False).select("asked", "id", F.sha2("text", 256).alias("text_sha256"))
 
 
 def neighbours(spark, sf_dir: str) -> DataFrame:
     rows = c.turn_sections(spark, sf_dir)
-    return reading.around(rows, _asked(rows), 1, 1).select("asked", "id", "ordinal")
+    return reading.around(rows, rows.select("id"), 1, 1).select("asked", "id", "ordinal")
 
 
 def table_runs(spark, sf_dir: str) -> DataFrame:
@@ -69,8 +64,8 @@ def _json_sql(column: str) -> str:
 QUERIES = {f.__name__: f for f in (adjacency, read_context, neighbours, table_runs, point_read, split_lines, export_chunks, offline_summary, word_counts_by_kind)}
 ORACLE_SQL = {
     "adjacency": f"WITH {c.TURNS} SELECT id, lag(id) OVER w AS prev_id, lead(id) OVER w AS next_id FROM turns WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal)",
-    "read_context": f"WITH {c.TURNS} SELECT a.id AS asked, b.id AS id, sha256(b.text) AS text_sha256 FROM turns a JOIN turns b ON a.doc_id = b.doc_id AND b.ordinal BETWEEN a.ordinal - 2 AND a.ordinal + 2 AND a.id <> b.id WHERE a.ordinal % 2 = 1",
-    "neighbours": f"WITH {c.TURNS} SELECT a.id AS asked, b.id AS id, b.ordinal FROM turns a JOIN turns b ON a.doc_id = b.doc_id AND b.ordinal BETWEEN a.ordinal - 1 AND a.ordinal + 1 WHERE a.ordinal % 2 = 1",
+    "read_context": f"WITH {c.TURNS} SELECT a.id AS asked, b.id AS id, sha256(b.text) AS text_sha256 FROM turns a JOIN turns b ON a.doc_id = b.doc_id AND b.ordinal BETWEEN a.ordinal - 2 AND a.ordinal + 2 AND a.id <> b.id",
+    "neighbours": f"WITH {c.TURNS} SELECT a.id AS asked, b.id AS id, b.ordinal FROM turns a JOIN turns b ON a.doc_id = b.doc_id AND b.ordinal BETWEEN a.ordinal - 1 AND a.ordinal + 1",
     "table_runs": f"""WITH {c.TURNS},
 marked AS (SELECT *, CASE WHEN kind = 'table' AND coalesce(lag(kind) OVER w = 'table' AND lag(heading_path) OVER w = heading_path, false) THEN 0 ELSE 1 END AS start FROM turns WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal)),
 runs AS (SELECT *, sum(start) OVER (PARTITION BY doc_id ORDER BY ordinal) AS run FROM marked),
