@@ -23,6 +23,10 @@ Embedder = Callable[[str, list[str]], list[list[float]]]  # (model, texts) -> ve
 INDEX_BUDGET = 2000
 EMBED_BATCH = 100
 MOST_REPORTED = 1000
+#: A store is compacted to one segment when it would have more, or when so large a share of its sections is dead.
+MOST_SEGMENTS, MOST_DEAD = 16, 0.25
+#: The old sections of so few documents are found by their hashes in the files' statistics.
+MOST_LISTED = 1000
 
 
 @dataclass
@@ -176,6 +180,7 @@ def import_sections(spark: SparkSession, sections: DataFrame, root: str, title:
     def write(name: str, df: DataFrame, *order: str) -> DataFrame:
         target = f"{here}/{name}.parquet"
         names = [field.strip().split(" ")[0] for field in store.TABLES[name].split(", ")]
+        df = df.withColumn("segment", F.lit(1)) if "segment" in names else df
         df.select(*names).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{at}/{target}")
         tables[name] = target
         return spark.read.schema(store.TABLES[name]).parquet(f"{at}/{target}")
@@ -222,11 +227,12 @@ def _ingest(spark, corpus, root, found, parse, limits, index_budget, summarizer,
 
     tables, meta = dict(old.manifest["tables"]), dict(old.meta)
 
-    def write(name: str, df: DataFrame, *order: str) -> DataFrame:
-        """A table of the new snapshot; sorted within its files, so that scans can skip row groups."""
+    def write(name: str, df: DataFrame, *order: str, add: bool = False) -> DataFrame:
+        """A table of the new snapshot, or a segment that is added to it; sorted within its files, so that scans can skip row groups."""
         target = f"{here}/{name}.parquet"
+        df = df.withColumn("segment", F.lit(number)) if "segment int" in store.TABLES[name] else df
         (df.sortWithinPartitions(*order) if order else df).write.mode("overwrite").parquet(f"{io.root}/{target}")
-        tables[name] = target
+        tables[name] = [*(old.segments(name) if add else []), target]
         return spark.read.schema(store.TABLES[name]).parquet(f"{io.root}/{target}")
 
     sections = old.table("sections")
@@ -236,8 +242,8 @@ def _ingest(spark, corpus, root, found, parse, limits, index_budget, summarizer,
     if touched or retry:
         new_sections = exploded_sections(good)
         if touched:
-            # Dealt by ranges of the document's hash, so that a read by id opens one file.
-            sections = write("sections", upsert(sections, new_sections, gone).repartitionByRange("doc_id", "ordinal"), "doc_id", "ordinal")
+            _write_sections(spark, root, old, good, gone, new_sections, number, tables, manifest, write)
+            sections = store.Snapshot(spark, root, manifest | {"tables": tables}).table("sections")
         summaries = _summaries(good, sections, documents, old.table("summaries"), summarizer, summarizer_name, report, write)
         now = datetime.now(timezone.utc).replace(tzinfo=None, microsecond=0)
         added = good.join(summaries, "path", "left").select(
@@ -251,13 +257,7 @@ def _ingest(spark, corpus, root, found, parse, limits, index_budget, summarizer,
         documents = write("documents", upsert(carried, added, gone), "path")
         report.sections_written = new_sections.count()
         if touched:
-            fresh = lexical.postings_of(new_sections.select("id", "path", "heading_path", "text"))
-            paths = good.select("path").unionByName(gone).distinct()
-            whole = old.table("postings").join(paths, "path", "left_anti").select(*fresh.columns).unionByName(fresh)
-            postings = write("postings", whole.repartitionByRange("term", "id"), "term", "id")  # a term in most sections fills many files
-            write("terms", postings.groupBy("term").agg(F.count("*").alias("df")), "term")
-            rows, tokens = lexical.corpus_size(sections)
-            manifest |= {"sections": rows, "tokens": tokens, "documents": documents.count()}
+            manifest["documents"] = documents.count()
     if embed_model:
         if embed is None:
             raise ValueError("embed_model needs embed, a function (model, texts) -> vectors")
@@ -285,6 +285,44 @@ def _ingest(spark, corpus, root, found, parse, limits, index_budget, summarizer,
     return report
 
 
+def _write_sections(spark, root, old, good, gone, new_sections, number, tables, manifest, write) -> None:
+    """Sections, postings and terms of an ingest: a segment of what is new, and which paths' older rows are dead.
+
+    What is read and written is in proportion to the changed documents and to the list of dead paths,
+    until the store is due to be compacted: then its live rows are written as one segment. Terms and
+    sizes are brought forward by what was added and taken away.
+    """
+    changed = good.select("path").unionByName(gone)
+    replaced = old.table("documents").join(changed.distinct(), "path", "left_semi").select("doc_id", "path")
+    few = [r["doc_id"] for r in replaced.select("doc_id").limit(MOST_LISTED + 1).collect()]
+    before = old.table("sections")
+    leaving = before.where(F.col("doc_id").isin(few)) if len(few) <= MOST_LISTED else before
+    leaving = leaving.join(replaced.select("path"), "path", "left_semi")
+    columns = ("id", "path", "heading_path", "text")
+    added, left = lexical.corpus_size(new_sections), lexical.corpus_size(leaving) if few else (0, 0)
+    dead = manifest.get("dead_sections", 0) + left[0]
+    total = manifest["sections"] + added[0] - left[0]
+    manifest |= {"sections": total, "tokens": manifest["tokens"] + added[1] - left[1]}
+    if not old.segments("sections") or len(old.segments("sections")) >= MOST_SEGMENTS or dead > MOST_DEAD * (total + dead):
+        tables.pop("dead", None)
+        manifest |= {"dead": 0, "dead_sections": 0}
+        # Dealt by ranges of the document's hash, so that a read by id opens one file.
+        write("sections", before.join(changed, "path", "left_anti").unionByName(new_sections).repartitionByRange("doc_id", "ordinal"), "doc_id", "ordinal")
+        fresh = lexical.postings_of(new_sections.select(*columns))
+        whole = old.table("postings").join(changed, "path", "left_anti").select(*fresh.columns).unionByName(fresh)
+        postings = write("postings", whole.repartitionByRange("term", "id"), "term", "id")  # a term in most sections fills many files
+        write("terms", postings.groupBy("term").agg(F.count("*").alias("df")), "term")
+        return
+    write("sections", new_sections.repartitionByRange("doc_id", "ordinal"), "doc_id", "ordinal", add=True)
+    postings = write("postings", lexical.postings_of(new_sections.select(*columns)).repartitionByRange("term", "id"), "term", "id", add=True)
+    change = postings.select("term", F.lit(1).cast("long").alias("df"))
+    if few:
+        change = change.unionByName(lexical.postings_of(leaving.select(*columns)).select("term", F.lit(-1).cast("long").alias("df")))
+        known = old.table("dead").join(replaced.select("path"), "path", "left_anti")
+        manifest |= {"dead": write("dead", known.unionByName(replaced.select("path", F.lit(number).alias("before")))).count(), "dead_sections": dead}
+    write("terms", change.groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0"), "term", add=True)
+
+
 def _summaries(good, sections, documents, cache, summarizer, name, report, write) -> DataFrame:
     """path, summary and summary_src of the new documents, and of older ones whose line a model can better now.
 

@@ -6,6 +6,7 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMA_VERSION = "1.0"
 MANIFEST = "MANIFEST.json"
@@ -14,12 +15,18 @@ DOCUMENTS = (
     "doc_id bigint, path string, title string, summary string, summary_src string, sha256 string, bytes bigint, kind string, "
     "n_sections int, settings string, ingested_at timestamp"
 )
-SECTIONS = "id string, doc_id bigint, path string, ordinal int, heading_path string, level int, kind string, text string, char_len int, hash string, prev_id string, next_id string"
-POSTINGS = "term string, id string, path string, length int, heading_at array<int>, text_at array<int>"
+SECTIONS = "id string, doc_id bigint, path string, ordinal int, heading_path string, level int, kind string, text string, char_len int, hash string, prev_id string, next_id string, segment int"
+POSTINGS = "term string, id string, path string, length int, heading_at array<int>, text_at array<int>, segment int"
 TERMS = "term string, df bigint"
 EMBEDDINGS = "section_id string, model string, dim int, vec array<float>"
+#: Of documents that were replaced or deleted since the last compaction: their rows in segments before this one are dead.
+DEAD = "path string, before int"
 SUMMARIES = "sha256 string, model string, summary string"
-TABLES = {"documents": DOCUMENTS, "sections": SECTIONS, "postings": POSTINGS, "terms": TERMS, "embeddings": EMBEDDINGS, "summaries": SUMMARIES}
+TABLES = {"documents": DOCUMENTS, "sections": SECTIONS, "postings": POSTINGS, "terms": TERMS, "embeddings": EMBEDDINGS, "summaries": SUMMARIES, "dead": DEAD}
+#: Tables that an ingest adds a segment to; the others are written whole, with a row for each document at most.
+SEGMENTED = ("sections", "postings", "terms")
+#: More dead paths than this are joined by a shuffle, not broadcast.
+MOST_BROADCAST = 1_000_000
 
 
 class StoreError(ValueError):
@@ -91,9 +98,27 @@ class Snapshot:
     def counts(self) -> tuple[int, int]:
         return self.manifest["documents"], self.manifest["sections"]
 
+    def segments(self, name: str) -> list[str]:
+        """The folders of a table, oldest first."""
+        at = self.manifest["tables"].get(name, [])
+        return [at] if isinstance(at, str) else list(at)
+
     def table(self, name: str) -> DataFrame:
-        at = self.manifest["tables"].get(name)
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{at}") if at else self.spark.createDataFrame([], TABLES[name])
+        """A table's live rows. Filters on its columns reach the files of every segment."""
+        folders = self.segments(name)
+        if not folders:
+            rows = self.spark.createDataFrame([], TABLES[name])
+        else:
+            rows = self.spark.read.schema(TABLES[name]).parquet(*[f"{self.root}/{at}" for at in folders])
+        if name == "terms":  # segments hold what each ingest added and took away
+            return rows.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        if name not in SEGMENTED:
+            return rows
+        if "dead" in self.manifest["tables"]:
+            dead = self.table("dead").select(F.col("path").alias("_path"), "before")
+            dead = F.broadcast(dead) if self.manifest.get("dead", 0) <= MOST_BROADCAST else dead
+            rows = rows.join(dead, (F.col("path") == F.col("_path")) & (F.coalesce("segment", F.lit(0)) < F.col("before")), "left_anti")
+        return rows.drop("segment")
 
 
 def open_store(spark: SparkSession, root: str) -> Snapshot:
@@ -117,8 +142,9 @@ def commit(spark: SparkSession, root: str, manifest: dict, keep: int = 2) -> Sna
     """Make a manifest the present one, and drop the folders of snapshots older than the last `keep`."""
     files = Files(spark, root)
     files.replace(MANIFEST, json.dumps(manifest, indent=1, ensure_ascii=False))
-    used = {at.split("/")[0] for at in manifest["tables"].values()} | {f"snap-{manifest['snapshot'] - i}" for i in range(keep)}
+    now = Snapshot(spark, root, manifest)
+    used = {at.split("/")[0] for name in manifest["tables"] for at in now.segments(name)} | {f"snap-{manifest['snapshot'] - i}" for i in range(keep)}
     for folder in files.folders():
         if folder.startswith("snap-") and folder not in used:
             files.drop(folder)
-    return Snapshot(spark, root, manifest)
+    return now
