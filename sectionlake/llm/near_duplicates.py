@@ -219,6 +219,8 @@ def _shingled(rows: DataFrame, width: int) -> DataFrame:
 
 #: Members in a tile of a bucket, and the bytes of their sets: a task holds two tiles.
 TILE, TILE_BYTES, BLOCK = 2048, 16 << 20, 256
+#: Members that a head meets in one task.
+MEMBERS = 256
 _LINKS = "a long, b long"
 
 
@@ -295,14 +297,14 @@ def tile_links(own: pa.Table, least: float, bands: int) -> pa.Table:
     return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
 
-def _parts(count: str, size: str) -> Column:
-    """Tiles for so many members with so many shingles in all."""
-    return F.greatest(F.ceil(F.col(count) / TILE), F.ceil(F.col(size) * 8 / TILE_BYTES), F.lit(1)).cast("int")
+def _parts(count: str, size: str, most: int) -> Column:
+    """Tiles of `most` members and TILE_BYTES for so many members with so many shingles in all."""
+    return F.greatest(F.ceil(F.col(count) / most), F.ceil(F.col(size) * 8 / TILE_BYTES), F.lit(1)).cast("int")
 
 
 def _head_links(star: DataFrame, classes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Links of bucket heads (_head) with similar members (_node, _size): a head meets a bounded part of its members in a task."""
-    heads = written(star.groupBy("_head").agg(F.count("*").alias("_m"), F.sum("_size").alias("_w")).withColumn("_k", _parts("_m", "_w")), "heads")
+    heads = written(star.groupBy("_head").agg(F.count("*").alias("_m"), F.sum("_size").alias("_w")).withColumn("_k", _parts("_m", "_w", MEMBERS)), "heads")
     total = heads.agg(F.sum("_m")).first()[0] or 0
     rows = spread_join(star, heads.select("_head", "_m", "_k"), "_head", "_m", total, ["_node"])
     rows = rows.select("_head", F.pmod(F.xxhash64("_node"), "_k").cast("int").alias("_tile"), "_node", F.lit(1).alias("side"))
@@ -314,7 +316,7 @@ def _tiled_links(mixed: DataFrame, classes: DataFrame, sets: DataFrame, least: f
     """Links between the components that meet in buckets: each pair of a bucket's tiles is a task of its own."""
     data = sets.join(classes.select("_node", "_sign", "_bands"), "_node")
     weight = mixed.groupBy("_bucket").agg(F.count("*").alias("_m"), F.sum("_size").alias("_w"))
-    tiles = written(weight.select("_bucket", "_m", _parts("_m", "_w").alias("_k")), "tiles")
+    tiles = written(weight.select("_bucket", "_m", _parts("_m", "_w", TILE).alias("_k")), "tiles")
     total = tiles.agg(F.sum("_m")).first()[0] or 0
     dealt = spread_join(mixed, tiles, "_bucket", "_m", total, ["_node"]).withColumn("_tile", F.pmod(F.xxhash64("_node"), "_k").cast("int"))
     units = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda o: F.struct(F.least(o, F.col("_tile")).alias("i"), F.greatest(o, F.col("_tile")).alias("j"), F.when(F.col("_tile") <= o, 0).otherwise(1).alias("side")))
