@@ -145,22 +145,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
 
     Alternating star contractions: in each round every node's larger neighbours are hung onto its
     smallest one, then its smaller neighbours are. Each round is two aggregations and two joins over
-    the links that are left, where a node with many neighbours is dealt over several tasks; its result is written, and the rounds end when a round changes nothing.
-    Nothing is collected but a count and a checksum of the links. Nodes without links don't appear.
+    the links that are left, where nodes with many neighbours, if there are any, are dealt over
+    several tasks; its result is written. The rounds end when every node that hangs on another hangs
+    on one alone that hangs on none. Nothing is collected but three numbers of a round. Nodes without
+    links don't appear.
     """
-    links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    links, seen = written(links, "links"), None
+    links = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
     for _ in range(most_rounds):
-        state = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if (now := (state["n"], state["s"])) == seen:
+        ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e"))
+        nodes = ends.groupBy("e.x").agg(F.sum("e.up").alias("up"), F.count("*").alias("n"))
+        open_ = (F.col("up") > 1) | ((F.col("up") > 0) & (F.col("n") > F.col("up")))
+        state = nodes.agg(F.count_if(open_).alias("open"), F.sum("up").alias("n"), F.max("n").alias("most")).first()
+        if not state["open"]:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select("v", "v").distinct())
-        seen = now
+        total = 2 * state["n"]
+
+        def onto(rows: DataFrame, least: DataFrame, hot: bool = state["most"] > total // MOST_HOT, total: int = total) -> DataFrame:
+            return spread_join(rows, least, "u", "n", total, ["v"]) if hot else rows.join(least, "u")
+
         both = links.union(links.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = spread_join(both, least, "u", "n", 2 * state["n"], ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = onto(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = written(large.distinct(), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = spread_join(large, least, "u", "n", 2 * state["n"], ["v"])
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m")))
+        small = onto(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m")))
         links = written(small.where("u <> v").distinct(), "links")
     raise RuntimeError("the links didn't settle")
