@@ -26,7 +26,7 @@ WINDOW = 24
 #: A sentence has at most so many words; a longer one is several.
 SENTENCE = 64
 #: The bounded sample for fitting: labelled documents of each class, and the most characters of one.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 800, 1_600, 12_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 600, 1_200, 12_000
 THRESHOLD = 0.3
 #: A landmark stands in toxic documents at so many times the rate of clean ones.
 LIFT = 4.0
@@ -443,7 +443,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     for y, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
         ids = told.where(F.col("_y") == y).select(F.col(key).alias("_k")).orderBy(order, "_k").limit(2 * most)
         texts = docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")).where(F.length("_t").between(1, SAMPLE_CHARS))
-        texts = texts.join(F.broadcast(ids), "_k", "left_semi").orderBy(order, "_k", "_t").limit(most)  # at most 5,000 ids
+        texts = texts.join(F.broadcast(ids), "_k", "left_semi").orderBy(order, "_k", "_t").limit(most)  # at most 2,400 ids
         sides.append([r[0] for r in texts.select("_t").collect()])  # at most `most` texts of SAMPLE_CHARS
     return fit(*sides, prior)
 
