@@ -80,13 +80,14 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def token_pieces(df: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", end: int = 0) -> DataFrame:
+def token_pieces(df: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", end: int = 0, ids: bool = True) -> DataFrame:
     """Each document's ids and an end id, cut into pieces of at most `capacity` tokens.
 
     Only longer documents are cut: all pieces but the first are full, and the first takes what is
-    left over. token_ids holds little-endian unsigned 32-bit ids.
+    left over. token_ids holds little-endian unsigned 32-bit ids (left out without `ids`).
     """
     last = int(end).to_bytes(4, "little")
+    fields = {"piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()} | ({"token_ids": pa.binary()} if ids else {})
 
     def run(batches):
         coder = word_ids(path)
@@ -94,21 +95,20 @@ def token_pieces(df: DataFrame, path: str, capacity: int = CAPACITY, key: str =
             for piece in slices(batch, 1 << 20):
                 keys, rows = [], []
                 for k, t in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
-                    ids = coder.encode(t or "") + last
-                    n = len(ids) // 4
+                    coded = coder.encode(t or "") + last
+                    n = len(coded) // 4
                     first = (n - 1) % capacity + 1
                     for i, start in enumerate([0, *range(first, n, capacity)]):
                         length = first if i == 0 else capacity
-                        own = ids[4 * start : 4 * (start + length)]
+                        own = coded[4 * start : 4 * (start + length)]
                         keys.append(k)
-                        rows.append((i, start, length, zlib.crc32(own), own))
-                columns = list(zip(*rows)) if rows else [[]] * 5
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, piece.column(0).type), *map(pa.array, columns, kinds)], names=[key, "piece", "start", "length", "ids_crc32", "token_ids"])
+                        rows.append((i, start, length, zlib.crc32(own), own)[: len(fields)])
+                columns = list(zip(*rows)) if rows else [[]] * len(fields)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, piece.column(0).type), *map(pa.array, columns, fields.values())], names=[key, *fields])
 
     ship_package(df.sparkSession)
     kind = dict(df.dtypes)[key]
-    return df.select(key, F.col(text).cast("string").alias(text)).mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, token_ids binary")
+    return df.select(key, F.col(text).cast("string").alias(text)).mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + ", token_ids binary" * ids)
 
 
 def best_two_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
@@ -214,21 +214,23 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", or
     return placed.select(*[F.col(f"p.{c}") for c in pieces.columns], (F.col("_first") + F.floor(here / F.col("_n"))).cast("long").alias("sequence_id"), (F.col("_offset") + here % F.col("_n") * F.col(f"p.{length}")).cast("long").alias("offset"))
 
 
-def pack_documents(df: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Tokenise documents and pack them: a row for each piece, with its ids and its place.
+def pack_documents(df: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", ids: bool = True) -> DataFrame:
+    """Tokenise documents and pack them: a row for each piece, with its ids (if asked for) and its place.
 
     The pieces are written once to the shared folder, so that texts are tokenised once; the order of
     rows then moves only the columns that are asked for. Null and empty texts are an end id alone.
-    Rows that repeat a key are documents of their own. An empty table gives no rows.
+    Texts of any length are tokenised whole. Rows that repeat a key are documents of their own; null
+    keys stay null. An empty table gives no rows. Only the key and the text are read, so other columns
+    can't clash.
     """
-    return pack(written(token_pieces(df, path, capacity, key, text), "pieces"), capacity, order=(key, "piece", "ids_crc32"))
+    return pack(written(token_pieces(df, path, capacity, key, text, ids=ids), "pieces"), capacity, order=(key, "piece", "ids_crc32"))
 
 
 def op4_best_two_fit(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    packed = pack_documents(docs, public_tokenizers.path(VOCABULARY))
+    packed = pack_documents(docs, public_tokenizers.path(VOCABULARY), ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
