@@ -53,7 +53,7 @@ def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     import public_tokenizers
 
-    packed = packing.pack_documents(docs, public_tokenizers.path(packing.VOCABULARY))
+    packed = packing.pack_documents(docs, public_tokenizers.path(packing.VOCABULARY), ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
