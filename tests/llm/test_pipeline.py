@@ -42,3 +42,25 @@ def test_empty_documents(spark, tmp_path):
         stage(spark, docs, SMALL).write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
     assert docs.count() == 0
+
+
+def test_odd_rows_go_through_every_stage(spark, tmp_path):
+    """Null and repeated keys, null, empty and long texts, and extra columns with names that operators use themselves."""
+    long = " ".join(f"word{i % 997} tail" for i in range(30_000))
+    texts = [(1, "one two three four five six"), (1, "one two three four five six"), (1, "another text of the same key"), (2, None), (3, ""), (None, "no key here at all"), (None, None), (4, long), (5, "\n\n\t  \n"), (7, "one two three four five six")]
+    names = ("_id", "_text", "_key", "_row", "_class", "_low", "_gone", "kept", "n_lines", "score", "piece", "length")
+    rows = spark.createDataFrame(texts, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    docs = rows.select("*", *[F.lit(f"own {c}").alias(c) for c in names if c != "n_lines"])
+    columns, seen = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        assert name == "packing" or out.columns == columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        seen[name] = docs.collect()
+        if name != "packing":
+            assert all(r[c] == f"own {c}" for r in seen[name] for c in names if c != "n_lines")
+    assert len(seen["toxicity"]) == len(seen["line_dedup"]) == 10
+    kept = sorted(((r["doc_id"], r["text"]) for r in seen["near_dedup"]), key=str)
+    assert kept == sorted(((k, t) for k, t in [texts[0], *texts[2:9]]), key=str)
+    assert sorted(str(r["doc_id"]) for r in seen["packing"] if r["piece"] == 0) == sorted(str(k) for k, _ in kept)
