@@ -93,8 +93,15 @@ def build_index(documents: DataFrame, meta: dict, budget: int) -> tuple[str, str
     return body, "hierarchical", estimate(body)
 
 
+#: Lines of a listing below a prefix; what goes beyond is counted in a last line.
+MOST_LINES = 10_000
+
+
 def prefix_listing(snapshot: Snapshot, prefix: str) -> str:
+    """The documents below a prefix by path, MOST_LINES at most come to the driver."""
     documents = snapshot.table("documents").where(text.prefix_filter(F.col("path"), prefix))
     n_docs, n_sections = documents.agg(F.count("*"), F.coalesce(F.sum("n_sections"), F.lit(0))).first()
-    lines = [r[0] for r in document_lines(documents).orderBy("path").select("line").toLocalIterator()]
+    lines = [r[0] for r in document_lines(documents).orderBy("path").limit(MOST_LINES).select("line").collect()]
+    if n_docs > len(lines):
+        lines.append(f"… and {n_docs - len(lines)} more documents; give a longer prefix")
     return "\n".join([f"{PRODUCT} index · {prefix or '/'} · {n_docs} documents · {n_sections} sections", *lines])

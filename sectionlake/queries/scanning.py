@@ -96,7 +96,10 @@ def toc_budget_mode(spark, sf_dir: str) -> DataFrame:
     """The index mode and tokens that each of four budgets gives."""
     docs = _documents(spark, sf_dir).cache()
     meta = {"corpus_fingerprint": "0" * 16}
-    rows = [(budget, *contents.build_index(docs, meta, budget)[1:]) for budget in (120, 200, 12_000, 4_000_000)]
+    try:
+        rows = [(budget, *contents.build_index(docs, meta, budget)[1:]) for budget in (120, 200, 12_000, 4_000_000)]
+    finally:
+        docs.unpersist()
     return spark.createDataFrame(rows, "budget int, mode string, tokens int")
 
 

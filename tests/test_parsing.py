@@ -104,3 +104,16 @@ def test_pdf_runs():
     pages = [[(20.0, "Big"), (20.0, "title"), (10.0, "Body text that is\n"), (10.0, "long enough."), (14.0, "\nPart"), (10.0, "more")], [(10.0, "next page")]]
     assert [x.raw for x in pdf.blocks_of_runs(pages)] == ["# Big title", "Body text that is long enough.", "## Part", "more", "next page"]
     assert pdf.blocks_of_runs([]) == []
+
+
+def test_table_functions_of_sql(spark):
+    from sectionlake.functions.tables import register
+    from sectionlake.sources.sections import Limits, sectionize
+
+    register(spark)
+    body = "# A\nwords of a that are long enough to be a section\n\n## B\n" + "word " * 60
+    spark.createDataFrame([(1, body), (2, None)], "id int, body string").createOrReplaceTempView("texts")
+    got = spark.sql("SELECT id, s.* FROM texts, LATERAL sectionize(body, 'markdown', 200) s ORDER BY id, ordinal").collect()
+    assert [tuple(r)[1:] for r in got] == [tuple(s) for s in sectionize(parse_markdown(body, ""), Limits(max_chars=200))] and {r["id"] for r in got} == {1}
+    blocks = spark.sql("SELECT b.kind, b.level FROM texts, LATERAL parse_blocks(body, 'markdown') b ORDER BY b.pos").collect()
+    assert [tuple(r) for r in blocks] == [("heading", 1), ("paragraph", 0), ("heading", 2), ("paragraph", 0)]
