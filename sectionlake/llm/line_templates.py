@@ -84,11 +84,16 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     Texts are parsed once, and lines counted by hash, so a line's many copies are one row from then
     on. Leaves, templates and classes that many lines have are dealt over several tasks.
     """
-    lines = written(_template_lines(docs, key, text, leading), "lines")
-    leaves = lines.groupBy("_leaf", "_text").agg(F.count("*").alias("n")).groupBy("_leaf").agg(F.count("*").alias("docs"), F.sum("n").alias("n")).where(F.col("docs") >= least_docs)
-    leaves = written(leaves.select("_leaf", "n"), "leaves")
-    total = leaves.agg(F.sum("n")).first()[0] or 0
-    kept = written(spread_join(lines, leaves, "_leaf", "n", total, ["_key", "_pos"], "left_semi"), "kept")
+
+    def often_met() -> DataFrame:
+        """The lines of leaves that enough texts have."""
+        lines = written(_template_lines(docs, key, text, leading), "lines")
+        leaves = lines.groupBy("_leaf", "_text").agg(F.count("*").alias("n")).groupBy("_leaf").agg(F.count("*").alias("docs"), F.sum("n").alias("n")).where(F.col("docs") >= least_docs)
+        leaves = written(leaves.select("_leaf", "n"), "leaves")
+        return spread_join(lines, leaves, "_leaf", "n", leaves.agg(F.sum("n")).first()[0] or 0, ["_key", "_pos"], "left_semi")
+
+    kept = settled(docs.sparkSession, often_met, "kept")  # the table of all lines goes then
+    total = kept.count()
     words = kept.groupBy("_leaf", "_h", "_text").agg(F.count("*").alias("n"), F.min("_line").alias("_line")).groupBy("_leaf", "_h").agg(F.count("*").alias("docs"), F.sum("n").alias("n"), F.min("_line").alias("_line"))
     unique = written(words.select("_leaf", "_h", "docs", "n", _tokens(F.col("_line")).alias("_tokens")), "unique")
     spread = unique.select("_leaf", "_h", "docs", F.size("_tokens").alias("_n"), F.posexplode("_tokens").alias("_i", "_t"))
