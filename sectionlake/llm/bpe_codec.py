@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sectionlake.session import ship_package
+from sectionlake.llm.common import local_file, ship_file
 from sectionlake.llm.bpe import byte_alphabet, latin_classes, merge_table
 from sectionlake.llm.token_counts import slices
 
@@ -142,7 +143,7 @@ def encode_decode(df: DataFrame, path: str, key: str = "doc_id", text: str = "te
     """
 
     def run(batches):
-        coder = codec(path)
+        coder = codec(local_file(path))
         for batch in batches:
             for piece in slices(batch, 1 << 20):
                 ids = coder.encode_batch([t or "" for t in piece.column(1).to_pylist()])
@@ -152,6 +153,7 @@ def encode_decode(df: DataFrame, path: str, key: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([piece.column(0), lists, pa.array([coder.decode(x) for x in ids], pa.string())], names=[key, "token_ids", "decoded"])
 
     ship_package(df.sparkSession)
+    ship_file(df.sparkSession, path)
     kind = dict(df.dtypes)[key]
     return df.select(key, F.col(text).cast("string").alias(text)).mapInArrow(run, f"`{key}` {kind}, token_ids array<int>, decoded string")
 

@@ -75,6 +75,25 @@ def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> D
     return out
 
 
+_files: set[tuple[str, str]] = set()
+
+
+def ship_file(spark: SparkSession, path: str) -> None:
+    """Give the session's executors a file of the driver, such as a vocabulary, once; workers open it by `local_file`."""
+    if (key := (spark.sparkContext.applicationId, path)) not in _files:
+        spark.sparkContext.addFile(path)
+        _files.add(key)
+
+
+def local_file(path: str) -> str:
+    """Where a worker finds a file: at its own path, where that is installed on all machines, else as it was shipped."""
+    import os
+
+    from pyspark import SparkFiles
+
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
 def text_of(column: str = "text") -> Column:
     """A text column as a string without nulls (null: empty)."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from sectionlake.session import ship_package
 from sectionlake.llm.bpe import byte_alphabet, latin_classes
-from sectionlake.llm.common import written
+from sectionlake.llm.common import local_file, ship_file, written
 from sectionlake.llm.token_counts import slices
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -90,7 +90,7 @@ def token_pieces(df: DataFrame, path: str, capacity: int = CAPACITY, key: str =
     fields = {"piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()} | ({"token_ids": pa.binary()} if ids else {})
 
     def run(batches):
-        coder = word_ids(path)
+        coder = word_ids(local_file(path))
         for batch in batches:
             for piece in slices(batch, 1 << 20):
                 keys, rows = [], []
@@ -107,6 +107,7 @@ def token_pieces(df: DataFrame, path: str, capacity: int = CAPACITY, key: str =
                 yield pa.RecordBatch.from_arrays([pa.array(keys, piece.column(0).type), *map(pa.array, columns, fields.values())], names=[key, *fields])
 
     ship_package(df.sparkSession)
+    ship_file(df.sparkSession, path)
     kind = dict(df.dtypes)[key]
     return df.select(key, F.col(text).cast("string").alias(text)).mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + ", token_ids binary" * ids)
 

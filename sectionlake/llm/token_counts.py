@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sectionlake.session import ship_package
+from sectionlake.llm.common import local_file, ship_file
 from sectionlake.llm.bpe import byte_alphabet, merge_table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -318,7 +319,7 @@ def token_counts(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     """
 
     def run(batches):
-        counter = transducer(path)
+        counter = transducer(local_file(path))
         for batch in batches:
             for piece in slices(batch, 8 << 20):
                 data, offsets = utf8_of(piece.column(1))
@@ -328,6 +329,7 @@ def token_counts(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
                 )
 
     ship_package(df.sparkSession)
+    ship_file(df.sparkSession, path)
     kind = dict(df.dtypes)[key]
     return df.select(key, F.col(text).cast("string").alias(text)).mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_tokens long")
 
