@@ -45,8 +45,11 @@ def nearest_rank(values: DataFrame, group: str, value: str, shares: tuple[float,
     return ranked.groupBy(group).agg(*picks, F.max(value).alias("max"))
 
 
-def run_totals(runs: DataFrame) -> DataFrame:
-    """Of runs (qid, tokens, calls: map of tool to number, reads): sums, means and the tools' shares in one row each tool."""
-    base = runs.agg(F.count("*").alias("queries"), F.sum("tokens").alias("tokens"), F.round(F.avg("reads"), 6).alias("reads_per_query"), F.count_if(F.col("reads") == 0).alias("without_reading"))
+def run_totals(runs: DataFrame, usd_per_million: float = 0.0) -> DataFrame:
+    """Of runs (qid, tokens, turns, calls: map of tool to number, reads): sums, means, cost and the tools' calls, a row for each tool."""
+    base = runs.agg(
+        F.count("*").alias("queries"), F.sum("tokens").alias("tokens"), F.sum("turns").alias("turns"), F.round(F.sum("tokens") * usd_per_million / 1e6, 6).alias("usd"),
+        F.round(F.avg("reads"), 6).alias("reads_per_query"), F.count_if(F.col("reads") == 0).alias("without_reading"),
+    )
     tools = runs.select(F.explode("calls").alias("tool", "n")).groupBy("tool").agg(F.sum("n").alias("calls"))
     return tools.join(F.broadcast(base), F.lit(True))  # `base` is one row

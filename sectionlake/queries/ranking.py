@@ -74,11 +74,11 @@ def latency_percentiles(spark, sf_dir: str) -> DataFrame:
 
 
 def run_totals(spark, sf_dir: str) -> DataFrame:
-    """Calls, tokens and reads of runs: a run is a user, each kind of event a tool."""
+    """Calls, tokens, turns, reads and cost of runs: a run is a user, each kind of event a tool and a turn."""
     events = table(spark, sf_dir, "events")
     per = events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    runs = per.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("calls"), F.sum("n").alias("tokens"), F.coalesce(F.sum(F.when(F.col("event_type") == "click", F.col("n"))), F.lit(0)).alias("reads"))
-    return evaluation.run_totals(runs.withColumnRenamed("user_id", "qid"))
+    runs = per.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("calls"), F.sum("n").alias("tokens"), F.count("*").alias("turns"), F.coalesce(F.sum(F.when(F.col("event_type") == "click", F.col("n"))), F.lit(0)).alias("reads"))
+    return evaluation.run_totals(runs.withColumnRenamed("user_id", "qid"), 2.5)
 
 
 _DOT = lambda a, b: f"list_sum(list_transform(range(len({a})), lambda i: {a}[i + 1]::DOUBLE * {b}[i + 1]::DOUBLE))"
@@ -104,7 +104,7 @@ UNION ALL SELECT 'overall', count(*), round(avg(recall), 6), round(avg(mrr), 6),
     "first_seen_ids": "SELECT qid, CAST(rank AS INTEGER) AS rank, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY position, id) AS rank FROM (SELECT user_id AS qid, event_type AS id, min(event_id) AS position FROM events GROUP BY ALL)) WHERE rank <= 3",
     "latency_percentiles": "WITH l AS (SELECT event_type, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type) SELECT event_type, v[CAST(floor(len(v) * 0.5) AS INTEGER) + 1] AS p50, v[CAST(floor(len(v) * 0.95) AS INTEGER) + 1] AS p95, v[-1] AS max FROM l",
     "run_totals": """WITH per AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL),
-runs AS (SELECT user_id, sum(n) AS tokens, coalesce(sum(n) FILTER (event_type = 'click'), 0) AS reads FROM per GROUP BY user_id),
-base AS (SELECT count(*) AS queries, CAST(sum(tokens) AS BIGINT) AS tokens, round(avg(reads), 6) AS reads_per_query, count(*) FILTER (reads = 0) AS without_reading FROM runs)
-SELECT event_type AS tool, CAST(sum(n) AS BIGINT) AS calls, queries, tokens, reads_per_query, without_reading FROM per, base GROUP BY ALL""",
+runs AS (SELECT user_id, sum(n) AS tokens, count(*) AS turns, coalesce(sum(n) FILTER (event_type = 'click'), 0) AS reads FROM per GROUP BY user_id),
+base AS (SELECT count(*) AS queries, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(turns) AS BIGINT) AS turns, round(CAST(sum(tokens) AS DOUBLE) * 2.5 / 1e6, 6) AS usd, round(avg(reads), 6) AS reads_per_query, count(*) FILTER (reads = 0) AS without_reading FROM runs)
+SELECT event_type AS tool, CAST(sum(n) AS BIGINT) AS calls, queries, tokens, turns, usd, reads_per_query, without_reading FROM per, base GROUP BY ALL""",
 }
