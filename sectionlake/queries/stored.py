@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectionlake.plans.engine import Engine
+from sectionlake.plans.engine import Engine, UnknownSection
 from sectionlake.plans.ingest import import_sections
 from sectionlake.queries import common as c
 from sectionlake.queries import lexical as words
@@ -43,8 +43,12 @@ def store_read(spark, sf_dir: str) -> DataFrame:
 
 
 def store_neighbours(spark, sf_dir: str) -> DataFrame:
-    found = stored(spark, sf_dir, "turns").neighbours(ASKED, 1, 3)
-    return spark.createDataFrame([(s.id, s.heading_path, s.text) for s in found.sections], "id string, heading_path string, text string")
+    """The sections around the asked one; no rows where the conversation has no such turn."""
+    try:
+        views = stored(spark, sf_dir, "turns").neighbours(ASKED, 1, 3).sections
+    except UnknownSection:
+        views = []
+    return spark.createDataFrame([(s.id, s.heading_path, s.text) for s in views], "id string, heading_path string, text string")
 
 
 def store_grep(spark, sf_dir: str) -> DataFrame:
