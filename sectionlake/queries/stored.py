@@ -38,8 +38,13 @@ def store_search_scoped(spark, sf_dir: str) -> DataFrame:
 
 
 def store_read(spark, sf_dir: str) -> DataFrame:
-    found = stored(spark, sf_dir, "turns").read(ASKED, 2)
-    return spark.createDataFrame([(s.id, s.kind, s.text, s.prev_id, s.next_id, s.context) for s in [found.section, *found.context]], "id string, kind string, text string, prev_id string, next_id string, context boolean")
+    """The asked section and its surroundings; no rows where the conversation has no such turn."""
+    try:
+        found = stored(spark, sf_dir, "turns").read(ASKED, 2)
+        views = [found.section, *found.context]
+    except UnknownSection:
+        views = []
+    return spark.createDataFrame([(s.id, s.kind, s.text, s.prev_id, s.next_id, s.context) for s in views], "id string, kind string, text string, prev_id string, next_id string, context boolean")
 
 
 def store_neighbours(spark, sf_dir: str) -> DataFrame:

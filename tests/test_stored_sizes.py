@@ -19,7 +19,7 @@ def short(spark, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["store_neighbours"])
+@pytest.mark.parametrize("name", ["store_read", "store_neighbours"])
 def test_a_turn_that_is_missing_gives_no_rows(spark, short, name):
     check_against_sql(spark, stored.QUERIES[name], stored.ORACLE_SQL[name], short)
     with pytest.raises(QueryError):
