@@ -53,11 +53,7 @@ def postings(spark, sf_dir: str) -> DataFrame:
 
 
 def _search(spark, sf_dir: str, query: str, limit: int | None, within: list[str] | None = None, tiers: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
-    sections = _sections(spark, sf_dir)
-    rows, tokens = lexical.corpus_size(sections)
-    scope = text.path_filter(F.col("path"), within)
-    words = lexical.words_of(query)
-    hits = lexical.ranked(lexical.postings_of(lexical.holding(sections, words)), rows, tokens / max(1, rows), words, scope).where(F.col("tier").isin(*tiers))
+    hits = lexical.search_sections(_sections(spark, sf_dir), lexical.words_of(query), text.path_filter(F.col("path"), within)).where(F.col("tier").isin(*tiers))
     best = lexical.top(hits, limit) if limit else hits
     return best.select("id", "path", "tier", F.round("score", 6).alias("score"))
 
@@ -102,16 +98,13 @@ def search_batch(spark, sf_dir: str) -> DataFrame:
     sections = _sections(spark, sf_dir)
     rows, tokens = lexical.corpus_size(sections)
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.coalesce("text", F.lit("")).alias("query"))
-    best = lexical.search_batch(lexical.postings_of(sections), rows, tokens / max(1, rows), queries, 5)
+    best = lexical.search_batch(lexical.postings_of(sections, lexical.repeated_ids(sections)), rows, tokens / max(1, rows), queries, 5)
     return best.select("qid", "rank", "id", F.round("score", 6).alias("score"))
 
 
 def acl_scoped_search(spark, sf_dir: str) -> DataFrame:
     """A search under an access list that is a table: sources with an even number; the list scopes rows, not statistics."""
-    sections = _sections(spark, sf_dir)
-    rows, tokens = lexical.corpus_size(sections)
-    words = lexical.words_of(RARE)
-    hits = lexical.ranked(lexical.postings_of(lexical.holding(sections, words)), rows, tokens / max(1, rows), words)
+    hits = lexical.search_sections(_sections(spark, sf_dir), lexical.words_of(RARE))
     allowed = table(spark, sf_dir, "documents").where(F.regexp_extract("source", r"(\d+)$", 1).try_cast("int") % 2 == 0).select(c.paths().alias("path")).distinct()
     best = lexical.top(hits.join(allowed, "path", "left_semi"), 20)
     return best.select("id", "tier", F.round("score", 6).alias("score"))

@@ -42,10 +42,7 @@ def hybrid_rrf(spark, sf_dir: str) -> DataFrame:
 
 
 def _lexical(spark, sf_dir: str) -> DataFrame:
-    sections = c.document_sections(spark, sf_dir)
-    rows, tokens = words.lexical.corpus_size(sections)
-    asked = words.lexical.words_of(words.RARE)
-    return words.lexical.ranked(words.lexical.postings_of(words.lexical.holding(sections, asked)), rows, tokens / max(1, rows), asked)
+    return words.lexical.search_sections(c.document_sections(spark, sf_dir), words.lexical.words_of(words.RARE))
 
 
 def _runs(spark, sf_dir: str) -> DataFrame:
