@@ -36,8 +36,10 @@ def doc_token_lengths(spark, sf_dir: str) -> DataFrame:
 
 
 def term_stats(spark, sf_dir: str) -> DataFrame:
-    rows = _sections(spark, sf_dir).select("id", F.explode(text.index_tokens(F.col("text"))).alias("term"))
-    each = rows.groupBy("term", "id").agg(F.count("*").alias("tf"))
+    rows = _sections(spark, sf_dir)
+    if not lexical.repeated_ids(rows):
+        return lexical.term_stats(rows)
+    each = rows.select("id", F.explode(text.index_tokens(F.col("text"))).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
     return each.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
 
 
