@@ -22,42 +22,66 @@ def _masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, field, WILD)).otherwise(line)
 
 
-def _tokens(masked: Column) -> Column:
-    """White-space tokens; most lines have single spaces alone, for which a plain split does."""
+def _odd(masked: Column) -> Column:
+    """Whether anything but single spaces between tokens is white space in a line."""
     odd = masked.startswith(" ") | masked.endswith(" ") | F.contains(masked, F.lit("  ")) | (masked == "")
     for sign in "\t\r\f\x0b":
         odd = odd | F.contains(masked, F.lit(sign))
-    return F.when(odd, F.filter(F.split(masked, f"[{_WHITE}]+"), lambda t: t != "")).otherwise(F.split(masked, " "))
+    return odd
+
+
+def _tokens(masked: Column) -> Column:
+    """White-space tokens; most lines have single spaces alone, for which a plain split does."""
+    return F.when(_odd(masked), F.array_remove(F.split(masked, f"[{_WHITE}]+"), "")).otherwise(F.split(masked, " "))
+
+
+def _leaf(masked: Column, leading: int) -> Column:
+    """The hash of a line's number of tokens and its first ones, of which a plain line has no others made."""
+    plain = F.octet_length(masked) - F.octet_length(F.replace(masked, F.lit(" "), F.lit(""))) + 1
+    head = F.split(F.substring_index(masked, " ", leading), " ") if leading > 0 else F.slice(F.split(masked, " "), 1, leading)
+    tokens = _tokens(masked)
+    return F.when(_odd(masked), F.xxhash64(F.size(tokens), F.slice(tokens, 1, leading))).otherwise(F.xxhash64(plain, head))
 
 
 def _template_lines(docs: DataFrame, key: str, text: str, leading: int) -> DataFrame:
     """A row for each line with a token: its place, its leaf, its hash and its masked text."""
-    plain = F.split(text_of(text), "\n")
-    masked = F.when(text_of(text).rlike("[0-9]"), F.transform(plain, _masked)).otherwise(plain)
-    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text_of(text)).alias("_text"), F.posexplode(masked).alias("_pos", "_line"))
-    rows = rows.select("_key", "_text", "_pos", "_line", F.xxhash64("_line").alias("_h"), _tokens(F.col("_line")).alias("_tokens"))
-    leaf = F.xxhash64(F.size("_tokens"), F.slice("_tokens", 1, leading))
-    return rows.where(F.size("_tokens") > 0).select("_key", "_text", "_pos", "_h", leaf.alias("_leaf"), "_line")
+    # The hash and the lines are made below the explode, once for a text; nothing here leaves generated code.
+    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text_of(text)).alias("_text"), F.split(text_of(text), "\n").alias("_lines"))
+    rows = rows.select("_key", "_text", F.posexplode("_lines").alias("_pos", "_line")).where(F.ltrim("_line", F.lit(" \t\r\f\x0b")) != "")
+    rows = rows.select("_key", "_text", "_pos", _masked(F.col("_line")).alias("_line"))
+    return rows.select("_key", "_text", "_pos", F.xxhash64("_line").alias("_h"), _leaf(F.col("_line"), leading).alias("_leaf"), "_line")
 
 
-def _near_copies(docs: DataFrame, key: str, text: str, texts: DataFrame) -> DataFrame:
-    """(_text, _class) of those of the `texts` (their hashes, and a _key of each) that have near copies among them.
+def _sketches(docs: DataFrame, key: str, text: str, texts: DataFrame) -> DataFrame:
+    """(_text, _sketch) of the `texts` (their hashes, and a _key of each).
 
-    A text's sketch has, for each of BINS bounds, the smallest hash of a shingle at or above it, so
-    that two sketches agree in about as many places as the shingle sets are alike (Jaccard). A text is
-    compared with the first one of each band it shares, and classes are components of such links.
+    A sketch has, for each of BINS bounds, the smallest hash of a shingle at or above it (or the
+    smallest of all), so that two sketches agree in about as many places as the shingle sets are
+    alike (Jaccard). Shingles are rows, hashed and aggregated by ranges between bounds in generated
+    code, in the tasks of the join, which has dealt them by key and text already.
     """
     own = docs.select(F.col(key).alias("_key"), F.xxhash64(text_of(text)).alias("_text"), text_of(text).alias("_body"))
-    rows = own.join(texts.select("_key", "_text"), ["_key", "_text"], "left_semi").select("_text", F.split("_body", _GAP).alias("_words"))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("_words") - (SHINGLE - 1), F.lit(1)))
-    rows = rows.select("_text", F.sort_array(F.transform(starts, lambda i: F.xxhash64(F.slice("_words", i, SHINGLE)))).alias("_all"))
+    rows = own.join(texts.select("_key", "_text"), ["_key", "_text"], "left_semi").select("_key", "_text", F.split("_body", _GAP).alias("_words"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_words") - SHINGLE, F.lit(0)))
+    rows = rows.select("_key", "_text", "_words", F.explode(starts).alias("_i"))
+    rows = rows.select("_key", "_text", F.xxhash64(*[F.get("_words", F.col("_i") + j) for j in range(SHINGLE)]).alias("_s"))
     shift = 64 - (BINS.bit_length() - 1)
-    first = F.filter("_all", lambda h, i: (i == 0) | (F.shiftright(h, shift) != F.shiftright(F.get("_all", i - 1), shift)))
-    rows = rows.select("_text", first.alias("_first")).dropDuplicates(["_text"])
-    bounds = F.array(*[F.lit((j - BINS // 2) << shift).cast("long") for j in range(BINS)])
-    sketch = F.transform(bounds, lambda b: F.coalesce(F.array_min(F.filter("_first", lambda h: h >= b)), F.get("_first", F.lit(0))))
-    sketches = written(rows.select("_text", sketch.alias("_sketch")), "sketches")
-    bands = F.transform(F.sequence(F.lit(1), F.lit(BINS), F.lit(BAND)), lambda i: F.xxhash64(i, F.slice("_sketch", i, BAND)))
+    rows = rows.groupBy("_key", "_text", (F.shiftright("_s", shift) + BINS // 2).cast("int").alias("_bin")).agg(F.min("_s").alias("_s"))
+    rows = rows.groupBy("_key", "_text").agg(F.sort_array(F.collect_list(F.struct("_bin", "_s"))).alias("_first"))
+    # A range's smallest hash stands for its own bound and those of the empty ranges before it.
+    filled = F.transform("_first", lambda x, i: F.array_repeat(x["_s"], x["_bin"] - F.when(i > 0, F.get("_first", i - 1)["_bin"]).otherwise(-1)))
+    rest = F.array_repeat(F.get("_first", F.lit(0))["_s"], F.lit(BINS - 1) - F.element_at("_first", -1)["_bin"])
+    return rows.select("_text", F.concat(F.flatten(filled), rest).alias("_sketch"))
+
+
+def _near_copies(docs: DataFrame, key: str, text: str, texts: DataFrame) -> DataFrame:
+    """(_text, _class) of those of the `texts` (see `_sketches`) that have near copies among them.
+
+    A text is compared with the first one of each band of its sketch that it shares, and classes are
+    components of links between texts whose sketches agree.
+    """
+    sketches = written(_sketches(docs, key, text, texts), "sketches")
+    bands = F.array(*[F.xxhash64(F.lit(i), *[F.get("_sketch", F.lit(i - 1 + j)) for j in range(BAND)]) for i in range(1, BINS + 1, BAND)])
     banded = sketches.select("_text", F.explode(bands).alias("_band"))
     shared = banded.groupBy("_band").agg(F.min("_text").alias("_other"), F.count("*").alias("_n")).where("_n > 1")
     total = sketches.count() * (BINS // BAND)
